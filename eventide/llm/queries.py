@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, html_text, media, url_rules
+from eventide.llm import bpe, html_text, media, quality, url_rules
 from eventide.llm.common import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -22,6 +22,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("doc_id", F.regexp_extract("caption", "^[0-9]+", 0).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs.select("doc_id", "text"), model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -38,7 +44,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_token_counts, op5_byte_bpe, op7_html_extraction, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filters": r"""
 WITH u AS (
