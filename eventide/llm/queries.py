@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, html_text, media, pii, quality, url_rules
+from eventide.llm import bpe, html_text, media, ngram_join, pii, quality, url_rules
 from eventide.llm.common import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -36,6 +36,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.extract(table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.apply_rules(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
@@ -48,7 +52,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op9_ngram_jaccard_join, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filters": r"""
 WITH u AS (
