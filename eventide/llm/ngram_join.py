@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning of a global n-gram order.
 
-The order puts n-grams that a fixed-size sketch of the whole corpus counts seldom before those it counts often. A
-document's n-grams that come first in the order name its candidates; the order is cut into fragments, the partial
-overlaps of each candidate pair are counted in every fragment by itself, and summed for the pair.
+The order is that of the n-grams' hashes, and it is cut into fragments. Two sets that link differ in so few n-grams that
+they agree on a whole fragment, if there are more fragments than differences; so equal fragments name the clusters of
+sets that may link. In a cluster the partial overlaps of its pairs are counted in fragments of the order, one after the
+other, and summed for each pair.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from pyspark.sql import functions as F
 from eventide.llm.common import materialize, mixed, shingles, slices, utf8, word_hashes
 from eventide.llm.components import components
 
-#: The sketch has 2**CELL_BITS counters, whatever the input; it is summed in blocks of BLOCK.
-CELL_BITS, BLOCK = 18, 4096
-CELL_SHIFT = np.uint64(64 - CELL_BITS)
-#: An n-gram whose counter is so far above the mean is dealt out over so many more partitions.
-ROWS_A_SALT = 10_000
-FRAGMENTS = 4
 AT_ONCE = 4_000_000
+#: The numbers of fragments in use grow by this ratio.
+LADDER = sorted({int(np.ceil(1.5**k)) for k in range(1, 60)})
+#: A fragment with fewer n-grams says little and names no cluster; sets with too many such are cut in other orders too.
+THICK = 2
+ORDERS = 4
+#: Sets of a cluster that are compared in one task, and their n-grams together.
+CHUNK_SETS, CHUNK_GRAMS = 1024, 1_000_000
+#: N-grams of a chunk whose overlaps are counted at a time.
+COLUMNS = 4096
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,134 +47,185 @@ def _name(grams: np.ndarray) -> int:
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """id, n, name of every row and, as further rows, each task's blocks of the sketch."""
+    """id, n, name of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
             n, name = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for k, grams in _sets(b.column(1), size):
                 n[k], name[k] = len(grams), _name(grams)
-                cells += np.bincount((grams >> CELL_SHIFT).astype(np.int64), minlength=1 << CELL_BITS) if len(grams) > 50_000 else 0
-                if len(grams) <= 50_000:
-                    np.add.at(cells, (grams >> CELL_SHIFT).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(name), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=names)
-        filled = [k for k in range(len(cells) // BLOCK) if cells[k * BLOCK : (k + 1) * BLOCK].any()]
-        none = pa.nulls(len(filled), pa.int64())
-        yield pa.RecordBatch.from_arrays([none.cast(id_kind), none, none, pa.array(filled, pa.int32()), pa.array([cells[k * BLOCK : (k + 1) * BLOCK].astype(np.int32).tobytes() for k in filled], pa.binary())], names=names)
-
-    names = ["id", "n", "name", "block", "cells"]
-    kind = dict(docs.dtypes)["id"]
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, name long, block int, cells binary")
-
-
-def _summed(blocks: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kind = np.int32 if len(c) == 4 * BLOCK else np.int64
-                total[k] = total.get(k, 0) + np.frombuffer(c, kind).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "cells"])
-
-    return blocks.select("block", "cells").mapInArrow(run, "block int, cells binary")
-
-
-def _sketch(blocks: DataFrame) -> np.ndarray:
-    """The counters over all documents: 2**CELL_BITS numbers, summed in tasks that hold a part of the blocks each."""
-    parts = _summed(blocks.repartition("block", F.spark_partition_id() % 16))
-    rows = _summed(parts.repartition("block")).collect()
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    for r in rows:
-        cells[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["cells"], np.int64)
-    return cells
-
-
-def _ranked(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Places of a sorted set's n-grams in the global order: by how often the sketch counts them, then by hash."""
-    return np.argsort(levels[(grams >> CELL_SHIFT).astype(np.int64)], kind="stable")
-
-
-def _postings(docs: DataFrame, size: int, percent: int, shared) -> DataFrame:
-    """gram, salt, name, n, place: each set's first n-grams in the order. Sets that link share one of these at least."""
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(name)], names=["id", "n", "name"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, name long")
+
+
+def _differences(n: int, percent: int) -> int:
+    """N-grams that a set of n and one that it links with can have in one of them only, at most."""
+    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+
+
+def _level(n: int, percent: int) -> int:
+    need = 11 * (_differences(n, percent) + 1) // 10 + 1
+    return int(np.searchsorted(LADDER, need))
+
+
+def fragments(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of a set's fragments. Two sets that link have one in common, or are equal."""
+    n = len(grams)
+    off = _differences(n, percent)
+    if not off:
+        return np.zeros(0, np.uint64)  # it links with equal sets only
+    out = []
+    for level in range(_level(n, percent), _level(n * 100 // percent, percent) + 1):  # also what a larger partner uses
+        f = LADDER[level]
+        for order in range(ORDERS):
+            own = np.sort(mixed(grams ^ np.uint64(order * 0x9E3779B9))) if order else grams
+            part = ((own >> np.uint64(32)) * np.uint64(f) >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            size = np.diff(np.append(starts, n))
+            # the last order keeps the thin and empty fragments, so that nothing is lost
+            thick = size >= (THICK if order + 1 < ORDERS else 1)
+            body = np.add.reduceat(mixed(own + np.uint64(level)), starts)
+            place = (part[starts] + (level << 40) + (order << 36)).astype(np.uint64)
+            out.append(mixed(mixed(place) ^ body)[thick])
+            if f - thick.sum() < f - off:
+                break
+            if order + 1 == ORDERS and len(starts) < f:
+                empty = np.setdiff1d(np.arange(f), part[starts])
+                out.append(mixed(mixed((empty + (level << 40) + (15 << 36)).astype(np.uint64))))
+    return np.concatenate(out)
+
+
+def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """sig, name: each signature with the smallest name of a batch that has it; the batch's others as further rows (to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, salts = shared.value
-        had: set[int] = set()
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            sigs, names, had = [], [], set()
             for _, grams in _sets(b.column(0), size):
                 name = _name(grams)
                 if not len(grams) or name in had:
                     continue
                 had.add(name)
-                n = len(grams)
-                top = n - -(-n * percent // 100) + 1
-                first = grams[_ranked(grams, levels)[:top]]
-                out[0].append(first.view(np.int64))
-                out[1].append((name % salts[(first >> CELL_SHIFT).astype(np.int64)]).astype(np.int32))
-                out[2].append(np.full(top, name)), out[3].append(np.full(top, n, np.int32)), out[4].append(np.arange(top, dtype=np.int32))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["gram", "salt", "name", "n", "place"])
-
-    return docs.select("text").mapInArrow(run, "gram long, salt int, name long, n int, place int")
-
-
-def _fits(percent: int) -> str:
-    """Whether sizes and places leave room for the overlap that a link needs (sides a and b)."""
-    least = f"({percent} * (n_a + n_b))"  # (100 + percent) * overlap >= percent * (n_a + n_b)
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND (100 + {percent}) * (least(place_a, place_b) + least(n_a - place_a, n_b - place_b)) >= {least}"
-
-
-def _verified(docs: DataFrame, where: DataFrame, pairs: DataFrame, size: int, percent: int, shared) -> DataFrame:
-    """The pairs (a, b) whose sets link. where: the row (id) in which a name's text is found.
-
-    Each pair has a row for every fragment of the order with the member's n-grams there; it meets the pivot's.
-    """
-    wanted = pairs.select(F.col("a").alias("name"), F.col("b").alias("to")).union(pairs.select(F.col("b"), F.lit(None).cast("long")).distinct())
-    wanted = wanted.join(where, "name").groupBy("id", "name").agg(F.collect_list("to").alias("to"), F.max(F.col("to").isNull()).alias("is_pivot"))  # a member has a pivot for each of its first n-grams at most
-    texts = docs.select("id", "text").join(wanted, "id")
+                s = fragments(grams, percent)
+                sigs.append(s.view(np.int64)), names.append(np.full(len(s), name))
+            if not sigs:
+                continue
+            sig, name = np.concatenate(sigs), np.concatenate(names)
+            by = np.lexsort((name, sig))
+            sig, name = sig[by], name[by]
+            new = np.concatenate([[True], sig[1:] != sig[:-1]])
+            low = name[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+            near = np.unique(np.stack([name[~new], low[~new]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(name[new]), pa.nulls(int(new.sum()), pa.int64())], names=["sig", "name", "to"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(near), pa.int64()), pa.array(near[:, 0]), pa.array(near[:, 1])], names=["sig", "name", "to"])
+
+    return docs.select("text").mapInArrow(run, "sig long, name long, to long")
+
+
+def _clusters(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, label: sets that may link have one label. A batch sends one row for each signature, so none is a hot key."""
+    rows = _signatures(docs, size, percent)
+    # rows that already are edges keep apart from each other; the others are dealt by signature, one for each batch at most
+    block = Window.partitionBy(F.coalesce("sig", F.xxhash64("name", "to")))
+    edges = rows.withColumn("low", F.when(F.col("sig").isNull(), F.col("to")).otherwise(F.min("name").over(block)))
+    return components(edges.filter("name <> low").select(F.col("name").alias("a"), F.col("low").alias("b")).distinct())
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the overlaps of all pairs of a chunk: counted in one fragment of the order after the other, and summed."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    grams = np.concatenate(sets)
+    by = np.argsort(grams, kind="stable")
+    grams, owner = grams[by], owner[by]
+    new = np.concatenate([[True], grams[1:] != grams[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1  # what one set alone has is in no overlap
+    owner, column = owner[shared], np.cumsum(new & shared)[shared] - 1
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - first] = 1
+        total += has @ has.T
+    return total
+
+
+def _linked(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that hold a chunk's sets together: each set with the first of its component, over the links between sides (or within the only one)."""
+    n = np.array([len(s) for s in sets], np.float32)
+    both = _overlaps(sets)
+    link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    if side.any() and not side.all():
+        link &= side[:, None] != side[None, :]
+    np.fill_diagonal(link, True)
+    label = np.arange(len(sets))
+    while True:
+        low = np.where(link, label[None, :], len(sets)).min(1)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    own = np.flatnonzero(label != np.arange(len(sets)))
+    return names[own], names[label[own]]
+
+
+UNIT = ["label", "lo", "hi"]
+
+
+def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: pairs that hold the links' components together. Large clusters are cut into chunks, compared two by two."""
+    own = clusters.withColumnRenamed("node", "name").join(where, "name")
+    chunks = own.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
+    own = own.join(chunks, "label").select("id", "name", "label", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+    texts = docs.select("id", "text").join(own, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, _ = shared.value
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[*UNIT, "chunk", "name", "grams"])
+
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
-            names, to, is_pivot = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            rows: list[list] = [[], [], [], [], []]
+            name, label, chunk, chunks = (b.column(i).to_pylist() for i in range(1, 5))
+            rows: list[list] = [[], [], [], [], [], []]
             held = 0
             for k, grams in _sets(b.column(0), size):
-                if _name(grams) != names[k]:
+                if _name(grams) != name[k]:
                     continue  # another row that has the same id
-                # fragments are ranges of the order: hash ranges of the seldom n-grams, and the others together
-                seldom = levels[(grams >> CELL_SHIFT).astype(np.int64)] == 0
-                part = np.where(seldom, (grams >> np.uint64(62)).astype(np.int64) % FRAGMENTS, FRAGMENTS)
-                for f in np.unique(part).tolist():
-                    body = grams[part == f].tobytes()
-                    for p in [*to[k], *([None] if is_pivot[k] else [])]:
-                        rows[0].append(names[k] if p is None else p), rows[1].append(f), rows[2].append(None if p is None else names[k]), rows[3].append(len(grams)), rows[4].append(body)
-                        held += len(body)
-                if held > AT_ONCE:
-                    yield _batch(rows)
-                    rows, held = [[], [], [], [], []], 0
-            yield _batch(rows)
-
-    def _batch(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.binary())], names=["pivot", "fragment", "member", "n", "grams"])
-
-    parts = texts.select("text", "name", "to", "is_pivot").mapInArrow(cut, "pivot long, fragment int, member long, n int, grams binary")
-    members = parts.filter("member is not null")
-    pivots = parts.filter("member is null").select("pivot", "fragment", F.col("n").alias("n_pivot"), F.col("grams").alias("pivot_grams"))
-    both = members.join(pivots, ["pivot", "fragment"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for other in range(chunks[k]):
+                    for c, v in zip(rows, (label[k], min(chunk[k], other), max(chunk[k], other), chunk[k], name[k], grams.tobytes()), strict=True):
+                        c.append(v)
+                    held += grams.nbytes
+                    if held > AT_ONCE:
+                        yield batch()
+                        rows, held = [[], [], [], [], [], []], 0
+            yield batch()
+
+    parts = texts.select("text", "name", "label", "chunk", "chunks").mapInArrow(cut, "label long, lo int, hi int, chunk int, name long, grams binary")
+    parts = parts.repartition(*UNIT).sortWithinPartitions(*UNIT)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units come sorted, one after the other; two chunks at most are held."""
+        unit, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            a, b = (), ()
+            if len(held) > 1:
+                names = np.array(list(held))
+                a, b = _linked(names, [np.frombuffer(g, np.uint64) for g, _ in held.values()], np.array([c != unit[1] for _, c in held.values()]), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for b in batches:
-            shared_grams = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(6), pa.array(shared_grams, pa.int64())], names=["pivot", "member", "n", "n_pivot", "fragment", "overlap"])
+            for label, lo, hi, chunk, name, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (label, lo, hi) != unit:
+                    if held:
+                        yield done()
+                    unit, held = (label, lo, hi), {}
+                held[name] = grams, chunk
+        if held:
+            yield done()
 
-    partial = both.select("pivot", "member", "n", "n_pivot", "grams", "pivot_grams", "fragment").mapInArrow(count, "pivot long, member long, n int, n_pivot int, fragment int, overlap long")
-    each = partial.groupBy("pivot", "member", "n", "n_pivot", "fragment").agg(F.max("overlap").alias("overlap"))  # rows that are repeated count once
-    total = each.groupBy("pivot", "member", "n", "n_pivot").agg(F.sum("overlap").alias("overlap"))
-    return total.filter(f"100 * overlap >= {percent} * (n + n_pivot - overlap)").select(F.col("member").alias("a"), F.col("pivot").alias("b"))
+    return parts.mapInArrow(compare, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -178,48 +233,18 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: st
 
     A row's set are its distinct runs of `size` words, of the whole text, A-Z as a-z; with fewer words, the whole
     sequence; without words or text, nothing, and no link. Rows link when their sets' overlap is `percent` hundredths
-    of their union at least. Rows with equal sets are one class from the start. Every class is compared with a pivot
-    for each of its first n-grams; what the links found leave in different components though it shares a first
-    n-gram is then compared directly, so no link between components is lost and no group is expanded into all pairs.
-    A row with a null id has no component and links nothing; ids that repeat are one document's if the texts are
-    equal, else each row keeps to its own links; other columns are left out; an empty table gives an empty one.
+    of their union at least. Rows with equal sets are one class from the start. Classes that agree on a fragment of
+    the order form clusters; in a cluster every pair is counted, in chunks of bounded size, so no link is lost.
+    A row with a null id has no component and links nothing; ids that repeat stand for all their rows' texts; other
+    columns are left out; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scanned = materialize(_scan(docs, size), "ngram-scan")
-    cells = _sketch(scanned.filter("block is not null"))
-    rows = scanned.filter("block is null").select("id", "n", "name")
-    mean = max(cells.sum() / len(cells), 1e-9)
-    levels = np.clip(np.floor(np.log2(np.maximum(cells, 1e-9) / mean)), 0, 60).astype(np.int8)
-    salts = np.maximum(1, np.ceil((cells - 2 * mean) / ROWS_A_SALT)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((levels, salts))  # 2**CELL_BITS entries
+    rows = materialize(_scan(docs, size), "ngram-sets")
     known = docs.filter("id is not null")
-
-    posted = _postings(known, size, percent, shared)
-    block = Window.partitionBy("gram", "salt")
-    posted = posted.withColumn("low", F.min("name").over(block)).withColumn("high", F.max("name").over(block)).filter("low <> high OR salt > 0")
-    posted = materialize(posted.select("gram", "name", "n", "place"), "ngram-postings")
-
-    where = rows.filter("id is not null AND n > 0").groupBy("name").agg(F.min("id").alias("id"))
-    pivot = posted.groupBy("gram").agg(F.min(F.struct("name", "n", "place")).alias("p"))
-    sides = posted.join(pivot, "gram").select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("p.name").alias("b"), F.col("p.n").alias("n_b"), F.col("p.place").alias("place_b"))
-    first = materialize(sides.filter("a <> b AND " + _fits(percent)).select("a", "b").distinct(), "ngram-pairs")
-    links = materialize(_verified(known, where, first, size, percent, shared), "ngram-links")
-    labels = components(links)
-
-    # what shares a first n-gram and is still apart
-    told = posted.join(labels, posted.name == labels.node, "left").select("gram", "name", "n", "place", F.coalesce("label", "name").alias("label"))
-    told = materialize(told, "ngram-told")
-    mixed_blocks = told.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
-    told = told.join(mixed_blocks, "gram").distinct()
-    a = told.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("name", "n", "place", "label")))
-    b = told.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("name", "n", "place", "label")))
-    apart = a.join(b, "gram").filter("label_a <> label_b AND name_a > name_b AND " + _fits(percent)).select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
-    apart = materialize(apart.join(first, ["a", "b"], "left_anti"), "ngram-apart")
-    if not apart.isEmpty():
-        links = links.union(materialize(_verified(known, where, apart, size, percent, shared), "ngram-links"))
-    labels = components(links)
-
+    where = rows.filter("id is not null AND n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    clusters = _clusters(known, size, percent)
+    labels = components(materialize(_links(known, where, clusters, size, percent), "ngram-links"))
+    # a component's name becomes its smallest id; rows of one id are one document
     best = where.join(labels, where.name == labels.node, "left").select("name", "id", F.coalesce("label", "name").alias("label"))
     lowest = best.groupBy("label").agg(F.min("id").alias("component_id"))
     best = best.join(lowest, "label").select("name", "component_id")
