@@ -5,7 +5,376 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "directory_search"
+from eventide.functions import predicates as P
+from eventide.operators import alerts, calendar, community, directory, lifecycle, preview, quality
+from eventide.sources import adapter as A
+from eventide.sources.adapter import AS_OF, WITH_SQL
+
+FLAGSHIP = "directory_page_date"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+DAY = f"DATE '{AS_OF}'"
+GROUP = f"CASE WHEN start_date IS NULL OR start_date >= {DAY} THEN 0 WHEN end_date >= {DAY} THEN 1 END"
+LIVE = f"(start_date IS NULL OR start_date >= {DAY} OR end_date >= {DAY})"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that follows the common tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = WITH_SQL + sql
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.directory_events(A.conferences(spark, sf_dir), A.sources(spark, sf_dir), A.pricing_tiers(spark, sf_dir))
+
+
+SHOWN = ["id", "name", "start_date", "end_date", "event_type", "event_format", "society", "price_from", "price_currency", "total", "place"]
+SHOWN_SQL = ", ".join(SHOWN)
+BASIC = directory.Filters(formats=("in_person", "online"), types=("conference", "workshop"), regions=("EUROPE", "ASIA"), date_from=AS_OF, date_to="1999-12-31", page=2, page_size=25)
+BASIC_SQL = f"event_format IN ('in_person', 'online') AND event_type IN ('conference', 'workshop') AND region IN ('EUROPE', 'ASIA') AND start_date <= DATE '1999-12-31' AND coalesce(end_date, start_date) >= {DAY}"
+
+
+@query(f""", hits AS (SELECT *, {GROUP} AS bucket FROM directory WHERE {BASIC_SQL}),
+ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY bucket, CASE WHEN bucket = 0 THEN start_date ELSE end_date END NULLS LAST, id) AS place FROM hits WHERE bucket IS NOT NULL)
+SELECT {SHOWN_SQL} FROM ranked WHERE place BETWEEN 26 AND 50""")
+def directory_page_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.page(_events(spark, sf_dir), BASIC).select(*SHOWN)
+
+
+@query(f""", ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY created_on DESC, id) AS place FROM directory WHERE cpd_accredited)
+SELECT {SHOWN_SQL} FROM ranked WHERE place <= 30""")
+def directory_page_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.page(_events(spark, sf_dir), directory.Filters(cpd=True, sort="newest")).select(*SHOWN)
+
+
+@query(f""", ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY price_from NULLS LAST, id) AS place FROM directory WHERE price_from < 300 AND country_guess = 'international')
+SELECT {SHOWN_SQL} FROM ranked WHERE place <= 30""")
+def directory_page_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.page(_events(spark, sf_dir), directory.Filters(price="under-300", country="international", sort="price")).select(*SHOWN)
+
+
+@query(f""", ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY created_on DESC, id) AS place FROM directory WHERE name ILIKE '%mach%' OR specialty ILIKE '%mach%' OR city ILIKE '%mach%')
+SELECT {SHOWN_SQL} FROM ranked WHERE place <= 30""")
+def directory_search_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.page(_events(spark, sf_dir), directory.Filters(q="(mach)", sort="newest")).select(*SHOWN)
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE abstract_deadline IS NULL) AS by_note FROM directory
+WHERE abstract_open AND (abstract_deadline >= {DAY} OR (abstract_deadline IS NULL AND abstract_deadline_note IS NOT NULL))""")
+def abstracts_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).filter(P.abstracts_open(AS_OF))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("abstract_deadline").isNull()).alias("by_note"))
+
+
+@query("SELECT country_guess, count(*) AS n FROM directory GROUP BY 1")
+def country_guess_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("country_guess").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT price_bucket, count(*) AS n FROM directory GROUP BY 1")
+def price_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("price_bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+FACETED = directory.Filters(formats=("online", "hybrid"), specialties=("BUILDING", "FURNITURE"), price="under-300", date_from=AS_OF)
+_TESTS = {"format": "event_format IN ('online', 'hybrid')", "specialty": "specialty IN ('BUILDING', 'FURNITURE')", "price": "price_from < 300"}
+_COLUMNS = {"format": "event_format", "type": "event_type", "specialty": "specialty", "region": "region", "society": "society", "country": "country_guess", "price": "price_bucket", "cpd": "cpd_accredited"}
+
+
+def _facet_sql(facet: str, column: str) -> str:
+    tests = [t for name, t in _TESTS.items() if name != facet]
+    return f"SELECT '{facet}' AS facet, CAST({column} AS VARCHAR) AS value, count(*) AS n FROM directory WHERE {column} IS NOT NULL AND coalesce(end_date, start_date) >= {DAY} AND {' AND '.join(tests)} GROUP BY {column}"
+
+
+@query(" UNION ALL ".join(_facet_sql(f, c) for f, c in _COLUMNS.items()))
+def facets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.facets(_events(spark, sf_dir), FACETED)
+
+
+TAXONOMY = [("BUILDING", "works"), ("Machinery", "works"), ("FURNITURE", "home"), ("household", "home")]
+
+
+@query(f""", taxonomy(raw, parent) AS (VALUES ('building', 'works'), ('machinery', 'works'), ('furniture', 'home'), ('household', 'home'))
+SELECT coalesce(parent, 'other') AS parent, count(*) AS n FROM directory LEFT JOIN taxonomy ON raw = lower(specialty) WHERE coalesce(end_date, start_date) >= {DAY} GROUP BY 1""")
+def facet_specialty_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = directory.facets(_events(spark, sf_dir), directory.Filters(date_from=AS_OF))
+    return directory.roll_up(rows, spark.createDataFrame(TAXONOMY, "raw string, parent string"))
+
+
+@query("SELECT conference_id, price_from, price_currency FROM cheapest")
+def cheapest_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.cheapest_tier(A.pricing_tiers(spark, sf_dir))
+
+
+@query(f"""SELECT count(*) AS events, count(DISTINCT society) AS societies, count(DISTINCT specialty) AS specialties, count(*) FILTER (WHERE price_from = 0) AS free, count(*) FILTER (WHERE cpd_accredited) AS cpd,
+count(*) FILTER (WHERE abstract_deadline BETWEEN {DAY} AND {DAY} + 14) AS closing, count(*) FILTER (WHERE event_format = 'online') AS online FROM directory WHERE {LIVE}""")
+def home_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.home_counters(_events(spark, sf_dir), AS_OF)
+
+
+@query(f""", calls AS (SELECT id, name, abstract_deadline FROM directory WHERE abstract_open AND abstract_deadline >= {DAY}), near AS (SELECT * FROM calls WHERE abstract_deadline <= {DAY} + 14)
+SELECT * FROM (SELECT * FROM near UNION ALL SELECT * FROM calls WHERE NOT EXISTS (SELECT 1 FROM near)) ORDER BY abstract_deadline, id LIMIT 5""")
+def closing_soon_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.closing_soon(_events(spark, sf_dir), AS_OF)
+
+
+@query(f"""SELECT id, name, start_date, end_date FROM directory WHERE start_date <= last_day({DAY}) AND (end_date >= {DAY} OR (end_date IS NULL AND start_date >= {DAY})) ORDER BY start_date, id LIMIT 12""")
+def this_month_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.this_month(_events(spark, sf_dir), AS_OF)
+
+
+@query("SELECT specialty AS value, count(*) AS n FROM directory GROUP BY 1 ORDER BY n DESC, value LIMIT 200")
+def top_specialties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.top_values(_events(spark, sf_dir), "specialty", 200)
+
+
+@query("SELECT society AS value, count(*) AS n FROM directory WHERE society IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 8")
+def top_societies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.top_values(_events(spark, sf_dir), "society", 8)
+
+
+@query("SELECT id, last_detail_on FROM directory ORDER BY last_detail_on DESC NULLS LAST, id DESC LIMIT 5000")
+def sitemap_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.sitemap(A.conferences(spark, sf_dir).filter("NOT archived"))
+
+
+@query(f"SELECT society, min(start_date) AS next_date FROM directory WHERE start_date >= {DAY} AND society IS NOT NULL GROUP BY 1")
+def next_date_per_society(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.next_dates(_events(spark, sf_dir), AS_OF)
+
+
+@query(""", bycur AS (SELECT conference_id, currency, min(price) AS low, max(price) AS high, count(*) AS n, min(id) AS first_id FROM pricing_tiers GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conference_id ORDER BY (currency = 'GBP') DESC, n DESC, first_id, currency) AS place, sum(n) OVER (PARTITION BY conference_id) AS every FROM bycur)
+SELECT conference_id, currency, low, high, CAST(every - n AS BIGINT) AS other_count FROM r WHERE place = 1""")
+def price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.price_summary(A.pricing_tiers(spark, sf_dir))
+
+
+@query(f""", r AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY sold_out, start_date, id) AS place, count(*) OVER (PARTITION BY course_id) AS upcoming,
+count(*) FILTER (WHERE NOT sold_out) OVER (PARTITION BY course_id) AS available FROM sessions WHERE start_date >= {DAY})
+SELECT course_id, id AS session_id, start_date, upcoming, available, available = 0 AS all_sold_out FROM r WHERE place = 1""")
+def next_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.next_session(A.sessions(spark, sf_dir), AS_OF)
+
+
+LATEST_SQL = ", latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conference_id, field ORDER BY created_on DESC, id DESC) AS place FROM community_facts WHERE is_published) WHERE place = 1)"
+
+
+@query(LATEST_SQL + "SELECT conference_id, field, id, value, created_on FROM latest")
+def latest_fact_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return community.latest_facts(A.community_facts(spark, sf_dir))
+
+
+@query(LATEST_SQL + """, w AS (SELECT conference_id, max(value) FILTER (WHERE field = 'city') AS c, max(value) FILTER (WHERE field = 'event_format') AS f FROM latest GROUP BY 1)
+SELECT id, coalesce(city, c) AS city, coalesce(event_format, f) AS event_format, (city IS NULL AND c IS NOT NULL) OR (event_format IS NULL AND f IS NOT NULL) AS from_community FROM directory LEFT JOIN w ON w.conference_id = id""")
+def overlay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return community.overlay(_events(spark, sf_dir), A.community_facts(spark, sf_dir))
+
+
+def _community_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.community_facts(spark, sf_dir).filter("field = 'price' AND is_published").select("conference_id", F.col("value").cast("long").alias("price"), F.lit("GBP").alias("currency"))
+
+
+@query("""SELECT conference_id, price, currency, 'organiser' AS origin FROM pricing_tiers WHERE conference_id IN (SELECT id FROM directory) UNION ALL
+SELECT conference_id, CAST(value AS BIGINT), 'GBP', 'community' FROM community_facts WHERE field = 'price' AND is_published AND conference_id IN (SELECT id FROM directory) AND conference_id NOT IN (SELECT conference_id FROM pricing_tiers)""")
+def tier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return community.tiers_or_community(_events(spark, sf_dir), A.pricing_tiers(spark, sf_dir), _community_tiers(spark, sf_dir))
+
+
+@query(f"""SELECT f.id, f.conference_id FROM community_facts f JOIN conferences c ON c.id = f.conference_id WHERE NOT is_published AND (archived OR coalesce(end_date, start_date) < {DAY})""")
+def expired_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return community.expired_contributions(A.community_facts(spark, sf_dir).filter("NOT is_published"), A.conferences(spark, sf_dir), AS_OF)
+
+
+@query("SELECT source_id, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) AS runs FROM scraper_logs GROUP BY 1")
+def status_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return community.status_counts(A.scraper_logs(spark, sf_dir))
+
+
+@query(f"""SELECT id, CASE WHEN NOT is_on_demand AND end_date < {DAY} THEN 'ended' WHEN is_on_demand AND start_date < {DAY} THEN 'on_demand' WHEN NOT is_on_demand AND end_date IS NULL AND start_date < {DAY} THEN 'undated_past' END AS reason
+FROM conferences WHERE NOT archived AND reason IS NOT NULL""")
+def archive_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.expired(A.conferences(spark, sf_dir), AS_OF)
+
+
+@query(f"""SELECT id, source_id, last_seen_on FROM conferences WHERE NOT archived AND last_seen_on < {DAY} - 14 AND source_id IN (SELECT source_id FROM scraper_logs WHERE status = 'success')""")
+def archive_stale_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.stale(A.conferences(spark, sf_dir), A.scraper_logs(spark, sf_dir).filter("status = 'success'"), AS_OF)
+
+
+@query(f"SELECT id, abstract_deadline FROM conferences WHERE NOT archived AND abstract_open AND abstract_deadline < {DAY}")
+def close_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.closed_deadlines(A.conferences(spark, sf_dir), AS_OF)
+
+
+RUNS_SQL = ", runs AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY run_started_at DESC, id DESC) AS place FROM scraper_logs)"
+
+
+@query(RUNS_SQL + "SELECT source_id, place, id, status FROM runs WHERE place <= 3")
+def recent_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.recent_statuses(A.scraper_logs(spark, sf_dir))
+
+
+@query(RUNS_SQL + """SELECT source_id, count(*) AS blocked FROM runs WHERE place <= 2 GROUP BY 1 HAVING count(*) = 2 AND bool_and(status = 'blocked')
+AND source_id NOT IN (SELECT source_id FROM scraper_logs WHERE status = 'success' AND CAST(run_started_at AS DATE) >= DATE '2024-02-05' - 7)""")
+def blocked_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.blocked_streaks(A.scraper_logs(spark, sf_dir), "2024-02-05", last=2)
+
+
+HASH_SQL = "sha256(concat_ws('|', name, coalesce(CAST(start_date AS VARCHAR), ''), coalesce(CAST(end_date AS VARCHAR), ''), '', CASE WHEN {sold} THEN '1' ELSE '0' END, coalesce(city, ''), ''))"
+
+
+@query(f"""SELECT id, {HASH_SQL.format(sold='is_sold_out')} AS listing_hash, CASE WHEN id % 9 = 0 THEN 'insert' WHEN {HASH_SQL.format(sold='is_sold_out')} <> {HASH_SQL.format(sold='id % 46 = 0')} THEN 'update'
+WHEN event_format IS NULL OR (event_format = 'in_person' AND city IS NULL) THEN 'heal' ELSE 'skip' END AS action FROM conferences""")
+def listing_hash_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = lifecycle.with_hash(A.conferences(spark, sf_dir))
+    before = lifecycle.with_hash(A.conferences(spark, sf_dir).filter("id % 9 <> 0").withColumn("is_sold_out", F.col("id") % 46 == 0))
+    return now.select("id", "listing_hash").join(lifecycle.ingest_actions(now, before), "id")
+
+
+@query("SELECT source_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY last_detail_on NULLS LAST, id) AS place FROM conferences WHERE NOT archived) WHERE place <= 5")
+def hook_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.hook_candidates(A.conferences(spark, sf_dir))
+
+
+@query("SELECT id, name, coalesce(city, 'Town ' || CAST(id % 10 AS VARCHAR)) AS city, CASE WHEN id % 3 = 0 THEN 'hybrid' ELSE event_format END AS event_format FROM conferences")
+def non_destructive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = A.conferences(spark, sf_dir).select("id", "name", "city", "event_format")
+    new = old.select("id", F.lit(" ").alias("name"), F.concat(F.lit("Town "), (F.col("id") % 10).cast("string")).alias("city"), F.when(F.col("id") % 3 == 0, "hybrid").alias("event_format"))
+    return lifecycle.merge_keeping(old, new, "id", ["name", "city", "event_format"], protected=("city",))
+
+
+@query("SELECT conference_id, regexp_replace(lower(tier_label), 's+$', '') AS label, price, currency, min(id) AS id FROM pricing_tiers GROUP BY ALL")
+def tier_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.dedupe_tiers(A.pricing_tiers(spark, sf_dir))
+
+
+@query("SELECT id, lower(trim(tier_label)) AS label, price FROM pricing_tiers t WHERE (conference_id, lower(trim(tier_label))) IN (SELECT (conference_id, lower(trim(tier_label))) FROM pricing_tiers GROUP BY conference_id, lower(trim(tier_label)) HAVING min(price) = max(price))")
+def conflict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.conflicting_labels(A.pricing_tiers(spark, sf_dir)).select("id", "label", "price")
+
+
+OFFLINE = "NOT coalesce(event_format = 'online', FALSE)"
+
+
+@query(f""", k AS (SELECT conference_id, count(*) AS tiers, count(*) FILTER (WHERE price = 0) AS zeros FROM pricing_tiers GROUP BY 1), r AS (SELECT c.*, tiers, zeros FROM conferences c LEFT JOIN k ON k.conference_id = c.id WHERE NOT archived)
+SELECT id, CASE WHEN tiers IS NULL THEN 'pricing_none' WHEN zeros = tiers THEN 'pricing_zero' ELSE 'pricing_partial' END AS gap FROM r WHERE tiers IS NULL OR zeros > 0
+UNION ALL SELECT id, 'start_date' FROM r WHERE start_date IS NULL UNION ALL SELECT id, 'end_date' FROM r WHERE start_date IS NOT NULL AND end_date IS NULL
+UNION ALL SELECT id, 'event_format' FROM r WHERE event_format IS NULL UNION ALL SELECT id, 'city' FROM r WHERE {OFFLINE} AND city IS NULL
+UNION ALL SELECT id, 'abstract_deadline' FROM r WHERE event_type IN ('conference', 'workshop') AND abstract_open AND abstract_deadline IS NULL AND abstract_deadline_note IS NULL""")
+def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.gaps(A.conferences(spark, sf_dir), A.pricing_tiers(spark, sf_dir))
+
+
+COVERAGE_SQL = f""", live AS (SELECT c.*, EXISTS (SELECT 1 FROM pricing_tiers p WHERE p.conference_id = c.id) AS priced FROM conferences c WHERE NOT archived),
+per AS (SELECT source_id, count(*) AS events, count(*) FILTER (WHERE priced) AS priced, count(*) FILTER (WHERE event_type IN ('conference', 'workshop')) AS calls,
+count(*) FILTER (WHERE event_type IN ('conference', 'workshop') AND abstract_deadline IS NOT NULL) AS deadlines, count(*) FILTER (WHERE {OFFLINE}) AS located, count(*) FILTER (WHERE {OFFLINE} AND city IS NOT NULL) AS cities FROM live GROUP BY 1),
+act AS (SELECT s.id AS source_id, coalesce(events, 0) AS events, coalesce(priced, 0) AS priced, coalesce(calls, 0) AS calls, coalesce(deadlines, 0) AS deadlines, coalesce(located, 0) AS located, coalesce(cities, 0) AS cities FROM sources s LEFT JOIN per ON per.source_id = s.id WHERE active),
+coverage AS (SELECT source_id, CAST(sum(events) AS BIGINT) AS events, round(100 * sum(priced) / nullif(sum(events), 0), 1) AS fees_pct, round(100 * sum(deadlines) / nullif(sum(calls), 0), 1) AS abstracts_pct, round(100 * sum(cities) / nullif(sum(located), 0), 1) AS city_pct FROM act GROUP BY ROLLUP (source_id))
+"""
+
+
+@query(COVERAGE_SQL + "SELECT * FROM coverage")
+def coverage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.coverage(A.conferences(spark, sf_dir), A.sources(spark, sf_dir), A.pricing_tiers(spark, sf_dir))
+
+
+@query(COVERAGE_SQL + """, long AS (UNPIVOT (SELECT source_id, events, fees_pct, abstracts_pct, city_pct FROM coverage WHERE events >= 5 AND source_id IS NOT NULL) ON fees_pct, abstracts_pct, city_pct INTO NAME metric VALUE was)
+SELECT source_id, metric, was, round(was - (source_id % 4) * 5, 1) AS now, round(was - round(was - (source_id % 4) * 5, 1), 1) AS drop FROM long WHERE round(was - round(was - (source_id % 4) * 5, 1), 1) >= 10""")
+def coverage_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = quality.coverage(A.conferences(spark, sf_dir), A.sources(spark, sf_dir), A.pricing_tiers(spark, sf_dir))
+    now = before.select("source_id", "events", *(F.round(F.col(c) - (F.col("source_id") % 4) * 5, 1).alias(c) for c in ("fees_pct", "abstracts_pct", "city_pct")))
+    return quality.drops(before, now)
+
+
+@query("SELECT regexp_replace(source_url, '#.*$', '') AS page, count(*) AS events, min(id) AS first_id FROM conferences WHERE NOT archived GROUP BY 1 HAVING count(*) >= 2")
+def shared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.shared_pages(A.conferences(spark, sf_dir))
+
+
+@query(f"""SELECT id, round(100.0 * (CAST(start_date IS NOT NULL AS INT) + CAST(end_date IS NOT NULL AS INT) + CAST(event_format IS NOT NULL AS INT) + CAST({OFFLINE} AND city IS NOT NULL AS INT) + CAST(event_type IN ('conference', 'workshop') AND abstract_deadline IS NOT NULL AS INT))
+/ (3 + CAST({OFFLINE} AS INT) + CAST(event_type IN ('conference', 'workshop') AS INT)), 1) AS score FROM conferences WHERE NOT archived""")
+def row_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.completeness(A.conferences(spark, sf_dir)).select("id", F.col("score").cast("double").alias("score"))
+
+
+@query("""SELECT h.host, pages, first_url, domain FROM (SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS host, count(*) AS pages, min(url) AS first_url FROM pages GROUP BY 1) h
+LEFT JOIN (VALUES ('example.net'), ('blog.tionsh.example.net'), ('example.org')) k(domain) ON host = domain OR suffix(host, '.' || domain) QUALIFY row_number() OVER (PARTITION BY h.host ORDER BY length(domain) DESC NULLS LAST) = 1""")
+def domain_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("example.net",), ("blog.tionsh.example.net",), ("example.org",)], "domain string")
+    return quality.covered(quality.domains(A.raw(spark, sf_dir, "pages")), known)
+
+
+@query(f"""SELECT user_id, count(*) AS matched, max(created_on) AS newest, least(count(*), 50) AS shown FROM profiles p JOIN directory d ON p.specialty = lower(d.specialty)
+WHERE (watermark IS NULL OR created_on > watermark) AND created_on <= {DAY} GROUP BY 1""")
+def specialty_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.specialty_alerts(A.profiles(spark, sf_dir), A.conferences(spark, sf_dir).filter("NOT archived"), AS_OF)
+
+
+@query(f"""SELECT r.id, user_id, conference_id, CASE WHEN archived IS NULL OR archived THEN 'cancelled' ELSE 'sent' END AS outcome FROM reminders r LEFT JOIN conferences c ON c.id = conference_id WHERE status = 'scheduled' AND scheduled_for <= {DAY}""")
+def due_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.due_reminders(A.reminders(spark, sf_dir), A.conferences(spark, sf_dir), AS_OF)
+
+
+@query(f"SELECT id, created_on FROM conferences WHERE created_on < CAST({DAY} - INTERVAL 12 MONTH AS DATE)")
+def notification_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.to_purge(A.conferences(spark, sf_dir).select("id", "created_on"), AS_OF, "created_on")
+
+
+_WORDS_SQL = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(label), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN (%s)))" % ", ".join(f"'{w}'" for w in P.STOP_WORDS)
+
+
+@query(f""", w AS (SELECT id, start_date, unnest({_WORDS_SQL}) AS word FROM (SELECT id, start_date, name || ' ' || city AS label FROM conferences WHERE start_date IS NOT NULL AND NOT archived))
+SELECT a.id AS submitted_id, b.id AS event_id, count(*) AS shared, abs(any_value(datediff('day', b.start_date, a.start_date))) AS days_apart
+FROM w a JOIN w b ON a.word = b.word AND a.id <> b.id AND abs(datediff('day', b.start_date, a.start_date)) <= 30 WHERE a.id % 250 = 3 GROUP BY 1, 2 HAVING count(*) >= 2""")
+def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions are events that another site sent in: those whose id leaves 3 by 250."""
+    rows = A.conferences(spark, sf_dir).filter("NOT archived").withColumn("name", F.concat("name", F.lit(" "), "city"))
+    return community.duplicate_candidates(rows.filter("id % 250 = 3"), rows)
+
+
+@query("""SELECT CAST(i // 7 AS INT) AS week, CAST(i % 7 AS INT) AS "column", DATE '1998-06-01' + CAST(i AS INT) AS day, month(DATE '1998-06-01' + CAST(i AS INT)) = 6 AS in_month, i % 7 >= 5 AS weekend FROM range(42) t(i)""")
+def month_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.month_matrix(spark, 1998, 6)
+
+
+SPANS_SQL = ", spans AS (SELECT id, start_date AS first, greatest(start_date, coalesce(end_date, start_date)) AS last FROM directory WHERE start_date IS NOT NULL)"
+
+
+@query(SPANS_SQL + f"SELECT strftime(first, '%Y-%m') AS month, count(*) AS events, arg_min(id, row(first, id)) AS first_id FROM spans WHERE last >= {DAY} GROUP BY 1")
+def agenda_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.agenda(_events(spark, sf_dir), AS_OF)
+
+
+@query(f"SELECT abstract_deadline, count(*) AS events, min(id) AS first_id FROM directory WHERE abstract_deadline BETWEEN {DAY} AND {DAY} + 60 GROUP BY 1")
+def deadlines_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.deadlines(_events(spark, sf_dir), AS_OF)
+
+
+@query()
+def calendar_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.lanes(A.conferences(spark, sf_dir).filter("NOT archived"))
+
+
+@query("SELECT id, regexp_matches(name, '(?i)\\b(m\\.?sc|mba|phd)\\b') AND NOT regexp_matches(name, '(?i)\\b(congress|workshop|conference)\\b') AS degree FROM conferences")
+def degree_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.conferences(spark, sf_dir).select("id", P.degree_title("name").alias("degree"))
+
+
+@query("SELECT conv_id, turn, nullif(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 300), '') AS excerpt FROM conversations")
+def event_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.raw(spark, sf_dir, "conversations").select("conv_id", "turn", P.excerpt("text").alias("excerpt"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS INT) AS links, CAST(len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS INT) AS distinct_links FROM pages""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return A.raw(spark, sf_dir, "pages").select("page_id", found.alias("found")).select("page_id", F.size("found").alias("links"), F.size(F.array_distinct("found")).alias("distinct_links"))
