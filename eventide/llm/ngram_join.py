@@ -109,8 +109,8 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 had.add(name)
                 s = fragments(grams, percent)
                 sigs.append(s.view(np.int64)), names.append(np.full(len(s), name))
-            if not sigs:
-                continue
+            if not any(map(len, sigs)):
+                continue  # small sets link with equal ones only
             sig, name = np.concatenate(sigs), np.concatenate(names)
             by = np.lexsort((name, sig))
             sig, name = sig[by], name[by]
