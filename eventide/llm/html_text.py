@@ -140,6 +140,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     A node's content importance is 1 less the mean entropy of its blocks over the site's pages, by base m of the m
     pages that have it: 0 if every page says the same there, 1 if none repeats another. Its presentation importance
     is the entropy of its sequence of children over those pages. A node has the larger of the two; a node of one page has 1.
+    A branch has the importance of its most important node, so that it goes only if all of it is low.
     Counts are summed within batches and by Spark before each shuffle, so that a site of very many pages is no hot key.
     """
 
@@ -158,6 +159,9 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     sums[host, _short(node), "style", _short(" ".join(dict.fromkeys(children)))] += 1
                 for node in {n for n, _ in said} | shape.keys():
                     sums[host, _short(node), "page", 0] += 1
+                    steps = node.split("/")
+                    for k in range(1, len(steps)):
+                        sums[host, _short(node), "under", _short("/".join(steps[:k]))] += 1
             keys = list(zip(*sums, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.string()), pa.array(keys[3], pa.int64()), pa.array(sums.values(), pa.int64()), pa.array([float(logs[k]) for k in sums], pa.float64())],
@@ -165,9 +169,9 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             )
 
     rows = pages.select(host_of(url_col).alias("host"), html_col).mapInArrow(run, "host string, node long, kind string, feature long, n long, clogc double")
-    each = rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("clogc").alias("clogc"))
+    each = materialize(rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("clogc").alias("clogc")), "style-features")
     text, style, page = (F.col("kind") == k for k in ("text", "style", "page"))
-    node = each.groupBy("host", "node").agg(
+    node = each.filter("kind <> 'under'").groupBy("host", "node").agg(
         F.max(F.when(page, F.col("n"))).alias("pages"),
         F.avg(F.when(text, F.log("n") - F.col("clogc") / F.col("n"))).alias("repeats"),
         F.sum(F.when(style, F.col("n") * F.log("n"))).alias("style_nlogn"),
@@ -176,7 +180,10 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     base = F.log("pages")
     content = 1 - F.col("repeats") / base
     presentation = (F.log("style_n") - F.col("style_nlogn") / F.col("style_n")) / base
-    return node.select("host", "node", "pages", F.when(F.col("pages") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(content, F.lit(0.0)), F.coalesce(presentation, F.lit(0.0)))).alias("importance"))
+    own = node.select("host", "node", "pages", F.when(F.col("pages") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(content, F.lit(0.0)), F.coalesce(presentation, F.lit(0.0)))).alias("importance"))
+    own = materialize(own, "style-nodes")
+    branch = each.filter("kind = 'under'").select("host", "node", F.col("feature").alias("top")).join(own.select("host", "node", "importance"), ["host", "node"]).groupBy("host", F.col("top").alias("node")).agg(F.max("importance").alias("below"))
+    return own.join(branch, ["host", "node"], "left").select("host", "node", "pages", F.greatest("importance", F.coalesce("below", F.lit(0.0))).alias("importance"))
 
 
 def main_text(page: str | None, cut: set[int]) -> str:
