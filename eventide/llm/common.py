@@ -40,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table has it."""
+    had = {c.lower() for c in df.columns}
+    while name in had:
+        name += "_"
+    return name
+
+
 def clean_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

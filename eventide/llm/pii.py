@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import materialize
+from eventide.llm.common import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive repeats and the conditions before and after find the same leftmost matches as the plain expressions
@@ -159,10 +159,11 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
     The text is cut at the spans, so the rest of it stays as it is. A null text stays null.
     """
-    spans = extract(docs, text_col, id_col).filter(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("tag").alias("_tag"), F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias("_spans"))
-    spans = spans.dropDuplicates(["_id", "_tag"])
+    own_id, own_tag, cuts, tag = (unused(docs, n) for n in ("_id", "_tag", "_spans", "_hash"))
+    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    spans = extract(docs, text_col, id_col).filter(F.size("spans") > 0).select(F.col(id_col).alias(own_id), F.col("tag").alias(own_tag), ordered.alias(cuts)).dropDuplicates([own_id, own_tag])
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("_hash", F.xxhash64(body)).join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tag")), "left")
+    rows = docs.withColumn(tag, F.xxhash64(body)).join(spans, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(tag) == F.col(own_tag)), "left")
 
     def add(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -170,5 +171,5 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(kept, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))).otherwise(acc["out"]).alias("out"))
 
     last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, last)
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    cut = F.aggregate(cuts, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, last)
+    return rows.withColumn(text_col, F.when(F.col(cuts).isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)

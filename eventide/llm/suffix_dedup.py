@@ -156,7 +156,7 @@ class RunLengthIndex:
         return out
 
     def matching_statistics(self) -> np.ndarray:
-        """For every place the length of its longest match with another place."""
+        """For every place the length of its longest match with another place; one that reaches its text's end may count what follows."""
         place = np.arange(self.n)
         best = np.zeros(self.n, np.int64)
         for samples, match in ((self.heads, self.head_match), (self.tails, self.tail_match)):
