@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm import bpe, decontaminate, ngram_join, pii, quality
-from eventide.llm.common import materialize, table
+from eventide.llm.common import materialize, table, unused
 
 #: Near duplicates: words in a shingle, and hundredths of the union that two documents share at least.
 WORDS, PERCENT = 5, 80
@@ -21,7 +21,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     if labels.filter("quality IN (0, 1)").isEmpty():
         return docs
-    return quality.classify(docs, quality.train(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    aside = {c: unused(docs, f"own_{c}") for c in docs.columns if c.lower() in ("score", "predicted")}
+    judged = quality.classify(docs.withColumnsRenamed(aside), quality.train(docs, labels)).filter("predicted = 1")
+    return judged.drop("score", "predicted").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
