@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 NONE = np.int32(2**31 - 1)
 #: Entries of a worker's table of pre-tokens seen; it is emptied when full, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Text handled at a time, in code points.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 
 class PairTable:

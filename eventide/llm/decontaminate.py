@@ -18,7 +18,7 @@ RATIO = 1.5
 FINE = 4
 #: Test items are broadcast in portions of at most so many characters; each portion is one pass over the documents.
 PORTION = 32_000_000
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 TOP = np.uint64(2**64 - 1)
 _rng = np.random.default_rng(11)
 XOR, ODD = _rng.integers(0, 2**64, HASHES, np.uint64), _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)

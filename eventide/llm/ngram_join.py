@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from eventide.llm.common import materialize, mixed, shingles, slices, utf8, word_hashes
 from eventide.llm.components import components
 
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: The numbers of fragments in use grow by this ratio.
 LADDER = sorted({int(np.ceil(1.5**k)) for k in range(1, 60)})
 #: A fragment with fewer n-grams says little and names no cluster; sets with too many such are cut in other orders too.

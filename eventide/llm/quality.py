@@ -18,7 +18,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: At most so many labelled documents are learned from, the first by a hash of their id; training is one bounded task.
 TRAINING_ROWS = 4000
 #: Bytes of text whose features are held at a time.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 SPACES = np.frombuffer(bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256)), np.uint8)
 
 
