@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from eventide.llm.common import tidy
+
 NONE = np.int32(2**31 - 1)
 #: Entries of a worker's table of pre-tokens seen; it is emptied when full, which changes no result.
 REMEMBERED = 150_000
@@ -275,7 +277,7 @@ def _per_text(df: DataFrame, text_col: str, id_col: str, fields: list[T.StructFi
                     names=schema.names,
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", limit: int = 1024) -> DataFrame:

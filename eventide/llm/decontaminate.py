@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import materialize, shingles, slices, utf8, word_hashes
+from eventide.llm.common import materialize, shingles, slices, tidy, utf8, word_hashes
 
 HASHES = 32
 #: Items of a partition have between the largest size / RATIO and the largest size.
@@ -140,7 +140,7 @@ def contained(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 8
                             rows.append(a + d), found[0].append(index.ids[i]), found[1].append(n), found[2].append(len(want))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found[0], ITEM_KIND[kinds[1]]), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["doc", "item", "shared", "item_shingles"])
 
-        one = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}, shared long, item_shingles long")
+        one = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc {kinds[0]}, item {kinds[1]}, shared long, item_shingles long")
         out = one if out is None else out.union(one)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 

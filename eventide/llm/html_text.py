@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import materialize
+from eventide.llm.common import materialize, tidy
 from eventide.llm.url_rules import host_of
 
 #: Elements that never belong to an article.
@@ -168,7 +168,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 names=["host", "node", "kind", "feature", "n", "clogc"],
             )
 
-    rows = pages.select(host_of(url_col).alias("host"), html_col).mapInArrow(run, "host string, node long, kind string, feature long, n long, clogc double")
+    rows = pages.select(host_of(url_col).alias("host"), html_col).mapInArrow(tidy(run), "host string, node long, kind string, feature long, n long, clogc double")
     each = materialize(rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("clogc").alias("clogc")), "style-features")
     text, style, page = (F.col("kind") == k for k in ("text", "style", "page"))
     node = each.filter("kind <> 'under'").groupBy("host", "node").agg(
@@ -237,4 +237,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return work.select("page_id", "url", "html", "cut").mapInArrow(run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long").withColumnsRenamed({"page_id": id_col, "url": url_col})
+    return work.select("page_id", "url", "html", "cut").mapInArrow(tidy(run), f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long").withColumnsRenamed({"page_id": id_col, "url": url_col})

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import materialize
+from eventide.llm.common import materialize, tidy
 
 #: Samples in a row of a stored picture; payloads are padded to whole rows.
 WIDTH = 576
@@ -153,7 +153,7 @@ def interleave(pages: DataFrame, html_col: str = "html", id_col: str = "doc_id")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse_sequence(h) for h in b.column(1).to_pylist()], pa.list_(_ITEM_ARROW))], names=["id", "items"])
 
-    return pages.select(F.col(id_col).alias("id"), html_col).mapInArrow(run, f"id {dict(pages.dtypes)[id_col]}, items array<{ITEM}>").withColumnRenamed("id", id_col)
+    return pages.select(F.col(id_col).alias("id"), html_col).mapInArrow(tidy(run), f"id {dict(pages.dtypes)[id_col]}, items array<{ITEM}>").withColumnRenamed("id", id_col)
 
 
 def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -174,7 +174,7 @@ def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tu
                 had.add(digest)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["id", "n_bytes", "digest", "media"])
 
-    kept = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, digest string, media binary")
+    kept = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, n_bytes long, digest string, media binary")
     kept = materialize(kept, "media")
     return kept.select(F.col("id").alias(id_col), "n_bytes", "digest"), kept.filter("media is not null").select("digest", "media")
 
@@ -194,7 +194,7 @@ def read_back(media: DataFrame) -> DataFrame:
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     spec = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, spec).dropDuplicates(["digest"])
+    return media.mapInArrow(tidy(run), spec).dropDuplicates(["digest"])
 
 
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import materialize, mixed, shingles, slices, utf8, word_hashes
+from eventide.llm.common import materialize, mixed, shingles, slices, tidy, utf8, word_hashes
 from eventide.llm.components import components
 
 AT_ONCE = 1_000_000
@@ -56,7 +56,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                 n[k], name[k] = len(grams), _name(grams)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(name)], names=["id", "n", "name"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, name long")
+    return docs.select("id", "text").mapInArrow(tidy(run), f"id {dict(docs.dtypes)['id']}, n long, name long")
 
 
 def _differences(n: int, percent: int) -> int:
@@ -120,7 +120,7 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(name[new]), pa.nulls(int(new.sum()), pa.int64())], names=["sig", "name", "to"])
             yield pa.RecordBatch.from_arrays([pa.nulls(len(near), pa.int64()), pa.array(near[:, 0]), pa.array(near[:, 1])], names=["sig", "name", "to"])
 
-    return docs.select("text").mapInArrow(run, "sig long, name long, to long")
+    return docs.select("text").mapInArrow(tidy(run), "sig long, name long, to long")
 
 
 def _clusters(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, pe
                         rows, held = [[], [], [], [], [], []], 0
             yield batch()
 
-    parts = texts.select("text", "name", "label", "chunk", "chunks").mapInArrow(cut, "label long, lo int, hi int, chunk int, name long, grams binary")
+    parts = texts.select("text", "name", "label", "chunk", "chunks").mapInArrow(tidy(cut), "label long, lo int, hi int, chunk int, name long, grams binary")
     parts = parts.repartition(*UNIT).sortWithinPartitions(*UNIT)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, pe
         if held:
             yield done()
 
-    return parts.mapInArrow(compare, "a long, b long")
+    return parts.mapInArrow(tidy(compare), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import BASE, mixed, slices, utf8, word_hashes
+from eventide.llm.common import BASE, mixed, slices, tidy, utf8, word_hashes
 
 BITS, DIM = 18, 8
 NGRAMS = (3, 4, 5)
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             label += b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([Model().fit(texts, np.array(label)).folded().tobytes()], pa.binary())], names=["model"])
 
-    got = sample.mapInArrow(fit, "model binary").collect()
+    got = sample.mapInArrow(tidy(fit), "model binary").collect()
     return np.frombuffer(got[0]["model"], np.float32) if got else Model().folded()
 
 
@@ -156,5 +156,5 @@ def classify(docs: DataFrame, folded: np.ndarray, text_col: str = "text", thresh
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(shared.value, *utf8(b.column(at))), pa.float64())], names=names)
 
     spec = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, spec).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(tidy(run), spec).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import materialize, mixed, powers, prefix_sums, slices, utf8
+from eventide.llm.common import materialize, mixed, powers, prefix_sums, slices, tidy, utf8
 
 LENGTH, GRAM = 200, 32
 AT_ONCE = 2_000_000
@@ -81,7 +81,7 @@ def _pieces(docs: DataFrame, length: int) -> DataFrame:
                 cols = [gram[first].view(np.int64), body[first].view(np.int64), keys[row[first] + x], tags[row[first] + x], start[first].astype(np.int32), windows[first].astype(np.int32), cover.astype(np.int32), times.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=PIECE_NAMES)
 
-    return docs.select("key", "tag", "text").mapInArrow(run, PIECE)
+    return docs.select("key", "tag", "text").mapInArrow(tidy(run), PIECE)
 
 
 class RunLengthIndex:
@@ -181,7 +181,7 @@ def _gram_counts(docs: DataFrame, length: int) -> DataFrame:
                 gram, n = np.unique(pieces(data[own[0] : own[-1]], own - own[0], length)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32))], names=["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n int")
+    return docs.select("text").mapInArrow(tidy(run), "gram long, n int")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     names=["gram", "body", "c", "bytes"],
                 )
 
-    return docs.join(lists, ["key", "tag"]).select("text", "pieces").mapInArrow(run, "gram long, body long, c long, bytes binary")
+    return docs.join(lists, ["key", "tag"]).select("text", "pieces").mapInArrow(tidy(run), "gram long, body long, c long, bytes binary")
 
 
 SPANS = "gram long, body long, spans array<struct<a:int,b:int>>"
@@ -239,7 +239,7 @@ def _indexed(contents: DataFrame, length: int) -> DataFrame:
         if held:
             yield block(held)
 
-    return contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, SPANS)
+    return contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(run), SPANS)
 
 
 def _windowed(contents: DataFrame, length: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _windowed(contents: DataFrame, length: int) -> DataFrame:
                 names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + length]) for k in range(n)), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names[::2]), pa.array(names[1::2]), pa.array(np.full(n, gram)), pa.array(np.full(n, body)), pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32))], names=["w1", "w2", "gram", "body", "c", "a"])
 
-    rows = materialize(contents.mapInArrow(run, "w1 long, w2 long, gram long, body long, c long, a int"), "windows")
+    rows = materialize(contents.mapInArrow(tidy(run), "w1 long, w2 long, gram long, body long, c long, a int"), "windows")
     again = rows.select("w1", "w2", "gram", "body").distinct().groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = rows.filter("c = 1").join(again, ["w1", "w2"], "left_semi")
     return hits.groupBy("gram", "body").agg(F.sort_array(F.collect_set(F.struct("a", (F.col("a") + length).alias("b")))).alias("spans"))  # at most length - k + 1
@@ -309,4 +309,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in list(zip(out, kinds, strict=True))[: len(names) - 1])], names=names)
 
     spec = f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<a:int,b:int>>, kept binary" if keep else "")
-    return both.mapInArrow(run, spec).withColumnRenamed("id", id_col)
+    return both.mapInArrow(tidy(run), spec).withColumnRenamed("id", id_col)
