@@ -15,13 +15,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from eventide.llm.common import tidy
+from eventide.llm.common import slices, tidy, utf8
 
 NONE = np.int32(2**31 - 1)
 #: Entries of a worker's table of pre-tokens seen; it is emptied when full, which changes no result.
 REMEMBERED = 150_000
-#: Text handled at a time, in code points.
-AT_ONCE = 2_000_000
+#: Bytes of text handled at a time.
+AT_ONCE = 1_000_000
 
 
 class PairTable:
@@ -241,6 +241,7 @@ class RankEncoder:
         return out
 
 
+ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 _loaded: dict[tuple[type, str], MergeCounter | RankEncoder] = {}
 
 
@@ -251,31 +252,17 @@ def loaded(kind: type, path: str):
     return _loaded[kind, path]
 
 
-def _portions(texts: list[str]) -> Iterator[slice]:
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= AT_ONCE:
-            yield slice(first, k + 1)
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
-
-
 def _per_text(df: DataFrame, text_col: str, id_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list[tuple]]]) -> DataFrame:
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in _portions(texts):
-                rows = work(texts[part])
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, part.stop - part.start)] + [pa.array(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[f.dataType.typeName() if f.dataType.typeName() != "bigint" else "long"]) for c, f in zip(cols, fields, strict=True)],
-                    names=schema.names,
-                )
+            for first, last in slices(utf8(batch.column(1))[1], AT_ONCE):
+                part = batch.slice(first, last - first)
+                rows = work([t or "" for t in part.column(1).to_pylist()])
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, ARROW[f.dataType.typeName()]) for c, f in zip(cols, fields, strict=True))], names=schema.names)
 
     return df.select(id_col, text_col).mapInArrow(tidy(run), schema)
 

@@ -64,11 +64,11 @@ class Model:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
         """Stochastic gradient descent in batches, with a step for each parameter that its past gradients shorten."""
-        docs = []
+        docs = []  # each with its buckets, how often it has them (in the smallest fitting type), and the sum of that
         for t in texts:
             buckets, _ = features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
             ids, times = np.unique(buckets, return_counts=True)
-            docs.append((ids, (times / times.sum()).astype(np.float32)))
+            docs.append((ids, times.astype(np.min_scalar_type(times.max())), times.sum()))
         seen = np.full(len(self.vectors), 1e-6, np.float32)
         seen_w, seen_b = np.full_like(self.weights, 1e-6), np.full_like(self.bias, 1e-6)
         rng, want = np.random.default_rng(seed), np.eye(2, dtype=np.float32)[labels.astype(int)]
@@ -77,7 +77,7 @@ class Model:
             for k in range(0, len(docs), BATCH):
                 part = order[k : k + BATCH]
                 ids = np.concatenate([docs[i][0] for i in part])
-                share = np.concatenate([docs[i][1] for i in part])
+                share = np.concatenate([(docs[i][1] / docs[i][2]).astype(np.float32) for i in part])
                 first = np.concatenate([[0], np.cumsum([len(docs[i][0]) for i in part])[:-1]])
                 mean = np.add.reduceat(self.vectors[ids] * share[:, None], first)
                 said = mean @ self.weights.T + self.bias
