@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.functions import predicates as P
+from eventide.functions import texts as T
 from eventide.operators import alerts, calendar, community, directory, lifecycle, preview, quality
 from eventide.sources import adapter as A
 from eventide.sources.adapter import AS_OF, WITH_SQL
+from eventide.streaming import health
 
 FLAGSHIP = "directory_page_date"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -378,3 +380,74 @@ def event_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
     return A.raw(spark, sf_dir, "pages").select("page_id", found.alias("found")).select("page_id", F.size("found").alias("links"), F.size(F.array_distinct("found")).alias("distinct_links"))
+
+
+@query(f"""SELECT id, CASE WHEN regexp_matches(name, '(?i)\\b(m\\.?sc|mba|phd)\\b') AND NOT regexp_matches(name, '(?i)\\b(congress|workshop|conference)\\b') THEN 'degree' WHEN name ILIKE '% workshop %' THEN 'workshop' WHEN name ILIKE '% course %' THEN 'course' ELSE 'conference' END AS kind FROM conferences""")
+def event_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.conferences(spark, sf_dir).select("id", T.event_type("name").alias("kind"))
+
+
+@query("""SELECT id, CASE id % 7 WHEN 0 THEN price + 0.5 WHEN 1 THEN price + 0.25 WHEN 2 THEN 7000 + price % 1000 WHEN 3 THEN 7000 + price % 1000 + 0.75 WHEN 4 THEN 3000000 + price % 1000 WHEN 5 THEN price END AS amount
+FROM (SELECT id, CAST(price AS DOUBLE) AS price FROM pricing_tiers)""")
+def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each price written in one of seven ways, the last of them no number."""
+    price, three = F.col("price").cast("string"), F.lpad((F.col("price") % 1000).cast("string"), 3, "0")
+    ways = [F.concat(price, F.lit(",5")), F.concat(price, F.lit(".25")), F.concat(F.lit("7."), three), F.concat(F.lit("7."), three, F.lit(",75")), F.concat(F.lit("3.000."), three), price, F.concat(price, F.lit(".2500"))]
+    return A.pricing_tiers(spark, sf_dir).select("id", T.parse_number(F.element_at(F.array(*ways), (F.col("id") % 7 + 1).cast("int"))).alias("amount"))
+
+
+@query("SELECT id, CASE WHEN id % 6 < 4 THEN start_date END AS found FROM conferences")
+def date_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each start written in four ways, or as a day that does not exist, or not at all."""
+    d = F.col("start_date")
+    ways = [F.date_format(d, "'by 'd'th 'MMMM yyyy"), F.date_format(d, "MMM d, yyyy"), F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "yyyy-MM-dd"), F.lit("31 February 2026"), F.lit("to be announced")]
+    return A.conferences(spark, sf_dir).select("id", T.date_phrase(F.element_at(F.array(*ways), (F.col("id") % 6 + 1).cast("int"))).alias("found"))
+
+
+@query("SELECT id, TRY_CAST('2027-' || lpad(CAST(id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(id % 33 AS VARCHAR), 2, '0') AS DATE) AS found FROM conferences")
+def safe_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = lambda n: F.lpad((F.col("id") % n).cast("string"), 2, "0")
+    return A.conferences(spark, sf_dir).select("id", T.safe_date(F.concat(F.lit("2027-"), two(14), F.lit("-"), two(33))).alias("found"))
+
+
+@query(f"""SELECT id, CASE WHEN start_date IS NULL THEN 'Date TBC' WHEN end_date IS NULL OR end_date = start_date THEN strftime(start_date, '%-d %b %Y') WHEN year(start_date) <> year(end_date) THEN strftime(start_date, '%-d %b %Y') || ' – ' || strftime(end_date, '%-d %b %Y')
+WHEN month(start_date) <> month(end_date) THEN strftime(start_date, '%-d %b') || ' – ' || strftime(end_date, '%-d %b %Y') ELSE strftime(start_date, '%-d') || '–' || strftime(end_date, '%-d %b %Y') END AS dates,
+CASE WHEN n = -1 THEN 'closed yesterday' WHEN n < 0 THEN 'closed ' || CAST(-n AS VARCHAR) || ' days ago' WHEN n = 1 THEN '1 day left' WHEN n >= 0 THEN CAST(n AS VARCHAR) || ' days left' END AS countdown,
+CASE WHEN event_format = 'online' OR city IS NULL THEN NULL ELSE city || ', ' || region END AS place FROM (SELECT *, datediff('day', {DAY}, abstract_deadline) AS n FROM conferences)""")
+def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    col = F.col
+    return A.conferences(spark, sf_dir).select("id", T.date_range(col("start_date"), col("end_date")).alias("dates"), T.countdown(col("abstract_deadline"), AS_OF).alias("countdown"), T.location_line(col("city"), col("region"), col("event_format")).alias("place"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 < 2 AND id % 250 BETWEEN 1 AND 200 THEN CAST(id % 250 AS INT) END AS points FROM conferences""")
+def cpd_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("id") % 250).cast("string")
+    ways = [F.concat(F.lit("Accredited for "), n, F.lit(" credits.")), F.concat(F.lit("Earn up to "), n, F.lit(" CPD hours")), F.concat(n, F.lit(" seats"))]
+    return A.conferences(spark, sf_dir).select("id", T.cpd_points(F.element_at(F.array(*ways), (F.col("id") % 3 + 1).cast("int"))).alias("points"))
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 3 THEN NULL ELSE regexp_replace(source_url, '#.*$', '') || CASE id % 4 WHEN 0 THEN '?a=1' ELSE '' END END AS url, id % 4 IN (1, 2) AS ok FROM conferences""")
+def normal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event pages written with tracking, upper case, a last slash, or another scheme; spaces and users are not acceptable."""
+    page = F.regexp_replace("source_url", "#.*$", "")
+    ways = [F.concat(F.lit("https://me:x@"), F.substring(page, 9, 999), F.lit("?utm_source=x&a=1&gclid=2#top")), F.concat(F.lit("HTTPS"), F.substring(page, 6, 999)), F.concat(page, F.lit("/?fbclid=1")), F.concat(F.lit("ftp"), F.substring(page, 6, 999))]
+    said = F.element_at(F.array(*ways), (F.col("id") % 4 + 1).cast("int"))
+    return A.conferences(spark, sf_dir).select("id", T.normal_url(said).alias("url"), T.url_ok(said).alias("ok"))
+
+
+@query("""SELECT id, strftime(start_date, '%Y%m%d') AS starts, strftime(coalesce(end_date, start_date) + 1, '%Y%m%d') AS ends, left(line, 75) || regexp_replace(substr(line, 76), '(.{1,74})', chr(13) || chr(10) || ' \\1', 'g') AS line
+FROM (SELECT *, 'DESCRIPTION:' || replace(repeat(name || ', ' || coalesce(city, '') || '; ', 1 + CAST(id % 5 AS INT)), ',', '\\,').replace(';', '\\;') AS line FROM directory) WHERE start_date IS NOT NULL""")
+def calendar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a calendar file holds of each event: the day after the last ends it, long lines are folded."""
+    said = F.repeat(F.concat("name", F.lit(", "), F.coalesce("city", F.lit("")), F.lit("; ")), (F.col("id") % 5 + 1).cast("int"))
+    rows = _events(spark, sf_dir).filter("start_date IS NOT NULL")
+    ends = F.date_add(F.coalesce("end_date", "start_date"), 1)
+    return rows.select("id", F.date_format("start_date", "yyyyMMdd").alias("starts"), F.date_format(ends, "yyyyMMdd").alias("ends"), T.folded(F.concat(F.lit("DESCRIPTION:"), T.calendar_text(said))).alias("line"))
+
+
+@query("SELECT source_id, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed, arg_max(id, row(run_started_at, id)) AS last_id, arg_max(status, row(run_started_at, id)) AS last_status FROM scraper_logs GROUP BY 1")
+def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log read as a stream, to its present end."""
+    schema = A.raw(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return health.run_available(health.source_health(A.runs(events)))

@@ -93,8 +93,13 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scraper_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs(raw(spark, sf_dir, "events"))
+
+
+def runs(events: DataFrame) -> DataFrame:
+    """Runs of the crawler, from events read as a table or a stream."""
     kind = F.col("event_type")
-    return raw(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), F.col("ts").alias("run_started_at"), F.when(kind == "error", "failed").when(kind == "click", "blocked").otherwise("success").alias("status"))
+    return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), F.col("ts").alias("run_started_at"), F.when(kind == "error", "failed").when(kind == "click", "blocked").otherwise("success").alias("status"))
 
 
 def community_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
