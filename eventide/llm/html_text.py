@@ -135,12 +135,16 @@ def _short(x: str) -> int:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, node (hash of a style node), pages, importance: every site's style tree, its pages merged.
+    """host, node (hash of a style node), pages, importance, variants: every site's style tree, its pages merged.
+
+    Pages of a site with the same body are one page, however often and under whatever urls it stands: each of its
+    copies counts as a share of one.
 
     A node's content importance is 1 less the mean entropy of its blocks over the site's pages, by base m of the m
     pages that have it: 0 if every page says the same there, 1 if none repeats another. Its presentation importance
     is the entropy of its sequence of children over those pages. A node has the larger of the two; a node of one page has 1.
     A branch has the importance of its most important node, so that it goes only if all of it is low.
+    ``variants`` is the number of equally frequent texts that have a node's entropy (pages ** importance), for a branch its most.
     Counts are summed within batches and by Spark before each shuffle, so that a site of very many pages is no hot key.
     """
 
@@ -148,31 +152,36 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for b in batches:
             sums: Counter = Counter()
             logs: Counter = Counter()
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for host, page, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found, shape = blocks(page)
                 said = Counter((node, text) for node, text, _, _ in found)
                 for (node, text), c in said.items():
                     key = (host, _short(node), "text", _short(text))
-                    sums[key] += c
-                    logs[key] += c * math.log(c)
+                    sums[key] += c * share
+                    logs[key] += c * math.log(c) * share
                 for node, children in shape.items():
-                    sums[host, _short(node), "style", _short(" ".join(dict.fromkeys(children)))] += 1
+                    sums[host, _short(node), "style", _short(" ".join(dict.fromkeys(children)))] += share
                 for node in {n for n, _ in said} | shape.keys():
-                    sums[host, _short(node), "page", 0] += 1
+                    sums[host, _short(node), "page", 0] += share
                     steps = node.split("/")
                     for k in range(1, len(steps)):
-                        sums[host, _short(node), "under", _short("/".join(steps[:k]))] += 1
+                        sums[host, _short(node), "under", _short("/".join(steps[:k]))] += share
             keys = list(zip(*sums, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.string()), pa.array(keys[3], pa.int64()), pa.array(sums.values(), pa.int64()), pa.array([float(logs[k]) for k in sums], pa.float64())],
+                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.string()), pa.array(keys[3], pa.int64()), pa.array([float(n) for n in sums.values()], pa.float64()), pa.array([float(logs[k]) for k in sums], pa.float64())],
                 names=["host", "node", "kind", "feature", "n", "clogc"],
             )
 
-    rows = pages.select(host_of(url_col).alias("host"), html_col).mapInArrow(tidy(run), "host string, node long, kind string, feature long, n long, clogc double")
+    html = F.col(html_col)
+    work = pages.select(host_of(url_col).alias("host"), html.alias("html"), F.xxhash64(F.substr(html, F.greatest(F.locate("<body", F.lower(html)), F.lit(1)))).alias("body"))
+    copies = materialize(work.groupBy("host", "body").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "page-copies")
+    few = copies.count() <= BROADCAST_COPIES
+    work = work.join(F.broadcast(copies) if few else copies, ["host", "body"], "left").select("host", "html", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("share"))
+    rows = work.mapInArrow(tidy(run), "host string, node long, kind string, feature long, n double, clogc double")
     each = materialize(rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("clogc").alias("clogc")), "style-features")
     text, style, page = (F.col("kind") == k for k in ("text", "style", "page"))
     node = each.filter("kind <> 'under'").groupBy("host", "node").agg(
-        F.max(F.when(page, F.col("n"))).alias("pages"),
+        F.round(F.max(F.when(page, F.col("n")))).cast("long").alias("pages"),
         F.avg(F.when(text, F.log("n") - F.col("clogc") / F.col("n"))).alias("repeats"),
         F.sum(F.when(style, F.col("n") * F.log("n"))).alias("style_nlogn"),
         F.sum(F.when(style, F.col("n"))).alias("style_n"),
@@ -181,13 +190,16 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     content = 1 - F.col("repeats") / base
     presentation = (F.log("style_n") - F.col("style_nlogn") / F.col("style_n")) / base
     own = node.select("host", "node", "pages", F.when(F.col("pages") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(content, F.lit(0.0)), F.coalesce(presentation, F.lit(0.0)))).alias("importance"))
-    own = materialize(own, "style-nodes")
-    branch = each.filter("kind = 'under'").select("host", "node", F.col("feature").alias("top")).join(own.select("host", "node", "importance"), ["host", "node"]).groupBy("host", F.col("top").alias("node")).agg(F.max("importance").alias("below"))
-    return own.join(branch, ["host", "node"], "left").select("host", "node", "pages", F.greatest("importance", F.coalesce("below", F.lit(0.0))).alias("importance"))
+    own = materialize(own.withColumn("variants", F.pow("pages", "importance")), "style-nodes")
+    branch = each.filter("kind = 'under'").select("host", "node", F.col("feature").alias("top")).join(own.select("host", "node", "importance", "variants"), ["host", "node"]).groupBy("host", F.col("top").alias("node")).agg(F.max("importance").alias("below"), F.max("variants").alias("most"))
+    return own.join(branch, ["host", "node"], "left").select("host", "node", "pages", F.greatest("importance", F.coalesce("below", F.lit(0.0))).alias("importance"), F.greatest("variants", F.coalesce("most", F.lit(0.0))).alias("variants"))
 
 
 def main_text(page: str | None, cut: set[int]) -> str:
-    """The article of one page, without the style nodes in ``cut`` and what stands below them."""
+    """The article of one page, without the style nodes in ``cut`` and what stands below them.
+
+    An article element and what it stands in are never cut, nor is anything if nothing would be left.
+    """
     found, _ = blocks(page)
     found = [b for b in found if not b[2]]
     if any(b[3] for b in found):
@@ -198,14 +210,17 @@ def main_text(page: str | None, cut: set[int]) -> str:
         if node not in judged:
             steps = node.split("/")
             # what has no name of its own in an article is the article's text, on however many pages it repeats
-            judged[node] = not any(("." in steps[k - 1] or not main) and _short("/".join(steps[:k])) in cut for k in range(2, len(steps) + 1))
+            top = next((k for k, x in enumerate(steps, 1) if x.split(".")[0] in MAIN_TAGS or "main" in x.partition(".")[2]), 1) if main else 1
+            judged[node] = not any(("." in steps[k - 1] or not main) and _short("/".join(steps[:k])) in cut for k in range(top + 1, len(steps) + 1))
         return judged[node]
 
-    return " ".join(b[1] for b in found if not cut or kept(b[0], b[3]))
+    return " ".join(b[1] for b in [b for b in found if not cut or kept(b[0], b[3])] or found)
 
 
-#: A node below this importance on at least so many pages is cut.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 5
+#: A node below this importance on at least so many pages is cut, unless it has so many variants: a few articles on very many pages.
+LEAST_IMPORTANCE, LEAST_PAGES, LEAST_VARIANTS = 0.2, 5, 2
+#: Bodies that stand on several pages are broadcast up to so many; beyond, they are joined to their site's pages.
+BROADCAST_COPIES = 100_000
 #: Cut nodes are broadcast up to so many; beyond, they are joined to their site's pages.
 BROADCAST_NODES = 100_000
 
@@ -219,7 +234,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
     keeps what is left of its body. A null or empty page has an empty text; a null url is the site "".
     Repeated rows give a row each; other columns are left out; an empty table gives an empty one.
     """
-    low = style_tree(pages, url_col, html_col).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "node")
+    low = style_tree(pages, url_col, html_col).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE) & (F.col("variants") < LEAST_VARIANTS)).select("host", "node")
     low = low.groupBy("host").agg(F.collect_list("node").alias("cut"))  # bounded by the nodes of a site's style tree
     work = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
     low = materialize(low, "cut-nodes")

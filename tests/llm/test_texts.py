@@ -103,6 +103,26 @@ def test_branches_that_repeat_on_a_site_go(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == {k: f"Own text {k} of this page" for k in range(12)}
 
 
+def test_articles_on_copied_pages_stay(spark, monkeypatch):
+    """Copies of a page are one page, and a few articles on many pages are no boilerplate."""
+    html = lambda t, wrap: f"<html><head><link href='/{t}'></head><body><div class='b7'>Ring us</div>{wrap.format(f'Own text {t}')}</body></html>"
+    div, story = "<div class='c9'><p>{}</p></div>", "<div class='w1'><article class='story'><p>{}</p></article></div>"
+    rows = [(k, f"http://a.example/{k}", html("x", div)) for k in range(7)]
+    rows += [(10 + k, f"http://b.example/{k}", html(k % 3, story)) for k in range(60)]
+    rows += [(100 + k, f"http://c.example/{k}", html(k % 6, div)) for k in range(60)]
+    rows += [(200 + k, f"http://d.example/{k}", html(k % 3, div).replace("</body>", f"<div class='n'>No {k}</div></body>")) for k in range(400)]
+    rows += [(1000 + k, f"http://e.example/{k}", html("x", story).replace("</body>", f"<div class='n'>No {k}</div></body>")) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html_text.BROADCAST_COPIES, 0):
+        monkeypatch.setattr(html_text, "BROADCAST_COPIES", limit)
+        said = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+        assert {said[k] for k in range(7)} == {"Ring us Own text x"}
+        assert {k: said[10 + k] for k in range(60)} == {k: f"Own text {k % 3}" for k in range(60)}
+        assert {k: said[100 + k] for k in range(60)} == {k: f"Own text {k % 6}" for k in range(60)}
+        assert {k: said[200 + k] for k in range(400)} == {k: f"Own text {k % 3} No {k}" for k in range(400)}
+        assert {said[1000 + k] for k in range(20)} == {"Own text x"}
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.net/en/x?y", "HTTP://EXAMPLE.NET/en", "http://example.net/en/", "http://notexample.net/", "http://net/", "http://x.org/fr/1#f", "http://x.org/de", "http://example.com/de/a", "http://sub.example.com/de/", "http://example.com/fr/", "no url", "", None, "http://", "http:///p", "http://a.example.net?q=/en/", "ftp://u:p@h.net:80/", "http://é.net/", "x://y://z.net/en", "http://net./x"]
     rows = list(enumerate(urls)) + [(0, urls[0])]
