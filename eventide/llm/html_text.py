@@ -22,7 +22,13 @@ ASIDE_TAGS = frozenset("nav header footer aside form script style noscript templ
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus reply replies respond widget toolbar pagination pager login search copyright legal disclaimer contentinfo complementary form dialog".split()
 )
+#: Those of them that name what readers wrote, which may well be longer than the article.
+REMARKS = frozenset("comment comments disqus reply replies respond".split())
+#: Words before them that only say how a page is laid out: no-sidebar, has-comments.
+STATES = frozenset("no not non has have with without hide hidden is".split())
 MAIN_TAGS = frozenset(["article", "main"])
+#: Elements that names never make an aside.
+WHOLE = MAIN_TAGS | {"html", "body"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 RAW = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"])
@@ -37,35 +43,64 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
-    __slots__ = ("aside", "main", "node", "parts")
-
-    def __init__(self, node: str, aside: bool, main: bool):
-        self.node, self.aside, self.main, self.parts = node, aside, main, []
+    __slots__ = ("aside", "main", "named", "node", "parts")
+
+    def __init__(self, node: str, aside: bool, main: bool, named: tuple[int, ...]):
+        self.node, self.aside, self.main, self.named, self.parts = node, aside, main, named, []
+
+
+def _aside_name(names: str) -> str:
+    """What kind of aside the names tell: "remarks", "aside", "part" (an aside's word among others) or "" (none)."""
+    kind = ""
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if not ASIDE_WORDS.isdisjoint(words) and STATES.isdisjoint(words):
+            if not REMARKS.isdisjoint(words):
+                return "remarks"
+            kind = "aside" if kind == "aside" or ASIDE_WORDS.issuperset(words) else "part"
+    return kind
+
+
+def _drop_named(found: list[tuple[str, str, bool, bool, tuple[int, ...]]], kinds: list[str], whole: set[int]) -> set[int]:
+    """Which of the elements named as asides are asides: not what holds most of the text of the page's articles (of the
+    page, without one), unless readers wrote it; not what holds an article, if its name says more than that it is an
+    aside (a sidebar has teasers, which may be articles too); and none that leaves no text."""
+    own = [b for b in found if not b[2]]
+    if any(b[3] for b in own):
+        own = [b for b in own if b[3]]
+    size: Counter = Counter()
+    for _, said, _, _, named in own:
+        for k in named:
+            size[k] += len(said)
+    total = sum(len(b[1]) for b in own)
+    drop = {k for k, kind in enumerate(kinds) if size[k] < total and (kind == "remarks" or 2 * size[k] <= total and not (kind == "part" and k in whole))}
+    return drop if any(drop.isdisjoint(b[4]) for b in own) else set()
 
 
 def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[str]]]:
     """The blocks of text in page order (style node, text, in an aside, in an article), and the children of each style node.
 
     A style node is the path of block elements from the root, with their names in class and id.
+    An aside is known by its element or by its name, see _drop_named().
     """
     page = page or ""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, node, aside, main
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]  # tag, node, aside, main, elements named as asides
+    kinds: list[str] = []
+    whole: set[int] = set()
     out: list[Block] = []
     shape: dict[str, list[str]] = {}
-    now = Block("", False, False)
+    now = Block("", False, False, ())
 
     def fresh():
         nonlocal now
         if now.parts:
             out.append(now)
-        _, node, aside, main = stack[-1]
-        now = Block(node, aside, main)
+        now = Block(*stack[-1][1:])
 
     def text(s: str):
         nonlocal now
         if s:
-            _, node, aside, main = stack[-1]
-            if (aside, main) != (now.aside, now.main):
+            if stack[-1][2:] != (now.aside, now.main, now.named):
                 fresh()
             now.parts.append(s)
 
@@ -102,18 +137,24 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[st
                     break
         named = NAMED.findall(m[3]) if m[3] else ()
         names = " ".join(a or b or c for _, a, b, c in named)
-        _, node, aside, main = stack[-1]
+        _, node, aside, main, under = stack[-1]
         if tag not in INLINE:
             label = tag + "".join(sorted("." + w for w in {re.sub(r"\d+", "", x) for x in names.split()} if w))
             shape.setdefault(node, []).append(label)
             node = f"{node}/{label}"
-        aside = aside or tag in ASIDE_TAGS or any(w.lower() in ASIDE_WORDS for w in WORDS.findall(names))
-        main = main or tag in MAIN_TAGS or any(k.lower() == "role" and "main" in (a or b or c) for k, a, b, c in named)
+        aside = aside or tag in ASIDE_TAGS
+        article = tag in MAIN_TAGS or any(k.lower() == "role" and "main" in (a or b or c) for k, a, b, c in named)
+        if article and not aside:
+            whole.update(under)
+        elif names and tag not in WHOLE and (kind := _aside_name(names)):
+            under = (*under, len(kinds))
+            kinds.append(kind)
+        main = main or article
         if tag in VOID or m[3].endswith("/") and tag in INLINE:
             if tag not in INLINE:
                 fresh()
             continue
-        stack.append((tag, node, aside, main))
+        stack.append((tag, node, aside, main, under))
         if tag not in INLINE:
             fresh()
         if tag in RAW:
@@ -126,8 +167,9 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[st
     for b in out:
         said = " ".join(html.unescape("".join(b.parts)).split())
         if said:
-            found.append((b.node, said, b.aside, b.main))
-    return found, shape
+            found.append((b.node, said, b.aside, b.main, b.named))
+    drop = _drop_named(found, kinds, whole) if kinds else set()
+    return [(node, said, aside or not drop.isdisjoint(named), main) for node, said, aside, main, named in found], shape
 
 
 def _short(x: str) -> int:

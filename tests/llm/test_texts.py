@@ -103,6 +103,19 @@ def test_branches_that_repeat_on_a_site_go(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == {k: f"Own text {k} of this page" for k in range(12)}
 
 
+def test_names_spare_what_holds_the_article():
+    text = "The whole story of the day is told here at length."
+    for html in (
+        "<body class='no-sidebar'><p>{}</p></body>", "<html class='has-overlay'><body id='search'><div>{}</div></body></html>", "<main class='with-sidebar'><p>{}</p></main>", "<article class='post has-comments'>{}</article>",
+        "<div id='search-result-article'>{}</div><p>Back</p>", "<div class='social'><article><p>{}</p></article></div><p>Elsewhere</p>", "<div class='form'><div role='main'>{}</div></div>", "<article><div class='related-work'>{}</div></article>",
+        "<article><p>{}</p><div class='related'>More</div></article>", "<div><p>{}</p><div id='comments'>" + "<p>First!</p>" * 30 + "</div></div>", "<div><p>{}</p><p class='ad'>Buy</p></div>", "<article class='menu'><p>{}</p><p class='share'>Tell it</p></article>",
+        "<article>{}</article><div class='sidebar'><article>Teaser</article></div>", "<article>{}</article><div id='comments'>" + "<article>First!</article>" * 30 + "</div>",
+    ):
+        said = html_text.main_text(html.format(text), set())
+        assert said.removesuffix(" Back") == text, html
+    assert html_text.main_text("<div><p>Long enough to stay</p><p class='no-ads'>Yes</p></div>", set()) == "Long enough to stay Yes"
+
+
 def test_articles_on_copied_pages_stay(spark, monkeypatch):
     """Copies of a page are one page, and a few articles on many pages are no boilerplate."""
     html = lambda t, wrap: f"<html><head><link href='/{t}'></head><body><div class='b7'>Ring us</div>{wrap.format(f'Own text {t}')}</body></html>"
