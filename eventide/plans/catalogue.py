@@ -343,6 +343,13 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.duplicate_candidates(rows.filter("id % 250 = 3"), rows)
 
 
+@query()
+def duplicate_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event against every other."""
+    rows = A.conferences(spark, sf_dir).filter("NOT archived").withColumn("name", F.concat("name", F.lit(" "), "city"))
+    return community.duplicate_candidates(rows, rows)
+
+
 @query("""SELECT CAST(i // 7 AS INT) AS week, CAST(i % 7 AS INT) AS "column", DATE '1998-06-01' + CAST(i AS INT) AS day, month(DATE '1998-06-01' + CAST(i AS INT)) = 6 AS in_month, i % 7 >= 5 AS weekend FROM range(42) t(i)""")
 def month_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.month_matrix(spark, 1998, 6)
