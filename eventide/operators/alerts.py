@@ -11,12 +11,15 @@ from eventide.functions.predicates import day
 def specialty_alerts(profiles: DataFrame, events: DataFrame, as_of: str, cap: int = 50) -> DataFrame:
     """user_id, matched, newest, shown: events of a user's specialty created after the watermark; no watermark means all.
 
-    The specialty is an equi-join, the watermark a condition on it; shown counts up to a cap, matched all.
+    Events are counted by specialty and day, and answered once for each watermark of a specialty, which users then look
+    up: no user meets an event, however many share a specialty. shown counts up to a cap, matched all.
     """
     users = profiles.filter(F.col("specialty").isNotNull() & ~F.col("specialty").isin("", "other")).select("user_id", "specialty", "watermark")
-    fresh = events.select(F.lower("specialty").alias("specialty"), F.col("id").alias("event_id"), "created_on")
-    matched = users.join(fresh, "specialty").filter((F.col("watermark").isNull() | (F.col("created_on") > F.col("watermark"))) & (F.col("created_on") <= day(as_of)))
-    return matched.groupBy("user_id").agg(F.count(F.lit(1)).alias("matched"), F.max("created_on").alias("newest")).withColumn("shown", F.least("matched", F.lit(cap)))
+    daily = events.filter(F.col("created_on") <= day(as_of)).groupBy(F.lower("specialty").alias("specialty"), "created_on").agg(F.count(F.lit(1)).alias("n"))
+    marks = users.select("specialty", "watermark").distinct().join(daily, "specialty").filter(F.col("watermark").isNull() | (F.col("created_on") > F.col("watermark")))
+    told = marks.groupBy("specialty", F.col("watermark").alias("mark")).agg(F.sum("n").alias("n"), F.max("created_on").alias("day"))
+    matched = users.join(told.withColumnRenamed("specialty", "field"), (F.col("specialty") == F.col("field")) & F.col("watermark").eqNullSafe(F.col("mark")))
+    return matched.groupBy("user_id").agg(F.sum("n").alias("matched"), F.max("day").alias("newest")).withColumn("shown", F.least("matched", F.lit(cap)))
 
 
 def advance_watermarks(profiles: DataFrame, alerts: DataFrame, as_of: str) -> DataFrame:

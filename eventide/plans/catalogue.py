@@ -321,6 +321,12 @@ def specialty_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.specialty_alerts(A.profiles(spark, sf_dir), A.conferences(spark, sf_dir).filter("NOT archived"), AS_OF)
 
 
+@query()
+def specialty_alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of every user."""
+    return alerts.specialty_alerts(A.all_profiles(spark, sf_dir), A.conferences(spark, sf_dir).filter("NOT archived"), AS_OF)
+
+
 @query(f"""SELECT r.id, user_id, conference_id, CASE WHEN archived IS NULL OR archived THEN 'cancelled' ELSE 'sent' END AS outcome FROM reminders r LEFT JOIN conferences c ON c.id = conference_id WHERE status = 'scheduled' AND scheduled_for <= {DAY}""")
 def due_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.due_reminders(A.reminders(spark, sf_dir), A.conferences(spark, sf_dir), AS_OF)

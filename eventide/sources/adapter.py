@@ -116,9 +116,14 @@ def community_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of all_profiles() that the SQL has."""
+    return all_profiles(spark, sf_dir).filter("user_id % 20 = 0")
+
+
+def all_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with a specialty and the day up to which they were told of new events."""
     c = F.col("c_custkey")
-    return raw(spark, sf_dir, "customer").filter(c % 20 == 0).select(c.alias("user_id"), F.when(c % 7 != 0, F.lower("c_mktsegment")).alias("specialty"), F.when(c % 3 != 0, F.date_add(F.lit("1998-01-01").cast("date"), (c % 150).cast("int"))).alias("watermark"))
+    return raw(spark, sf_dir, "customer").select(c.alias("user_id"), F.when(c % 7 != 0, F.lower("c_mktsegment")).alias("specialty"), F.when(c % 3 != 0, F.date_add(F.lit("1998-01-01").cast("date"), (c % 150).cast("int"))).alias("watermark"))
 
 
 def reminders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force."""
 
+import datetime
+
 from eventide.functions import predicates as P
 from eventide.plans import catalogue
 from eventide.sources import adapter as A
@@ -20,4 +22,19 @@ def test_duplicate_candidates_of_every_event(spark):
     assert len(got) == len(want) and set(got) == want
     part = {tuple(r) for r in catalogue.QUERIES["duplicate_candidates"](spark, SF).collect()}
     assert part == {r for r in want if r[0] % 250 == 3} and len(want) > 100 * len(part)
-    print(len(part), len(want))
+
+
+def test_alerts_of_every_user(spark):
+    events = [(r["specialty"].lower(), r["created_on"]) for r in A.conferences(spark, SF).filter("NOT archived").select("specialty", "created_on").collect()]
+    last, want = datetime.date.fromisoformat(A.AS_OF), set()
+    for u in A.raw(spark, SF, "customer").collect():
+        c = u["c_custkey"]
+        mark = datetime.date(1998, 1, 1) + datetime.timedelta(c % 150) if c % 3 else datetime.date.min
+        days = [d for s, d in events if c % 7 and s == u["c_mktsegment"].lower() and mark < d <= last]
+        if days:
+            want.add((c, len(days), max(days), min(len(days), 50)))
+    got = [tuple(r) for r in catalogue.QUERIES["specialty_alerts_all"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    part = {tuple(r) for r in catalogue.QUERIES["specialty_alerts"](spark, SF).collect()}
+    assert part == {r for r in want if r[0] % 20 == 0}
+    assert len(want) > 10 * len(part), (len(want), len(part))
