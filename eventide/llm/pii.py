@@ -108,8 +108,8 @@ def discover(found: DataFrame, rounds: int = ROUNDS, least: float = LEAST_SCORE,
         return df.withColumn("pattern", F.explode(F.array_compact(both)))
 
     edges = patterns(seeds).select("pattern", F.md5("value").alias("value"), "kind").union(patterns(loose).select("pattern", F.md5("value").alias("value"), F.lit("").alias("kind"))).distinct()
-    # Only patterns with enough seeds can ever count; the rest of the graph is left here.
-    rich = edges.filter("kind <> ''").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= values).select("pattern").distinct()
+    # Only patterns with enough values, seeds or not, can ever count; the rest of the graph is left here.
+    rich = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= values).select("pattern")
     edges = materialize(edges.join(rich, "pattern", "left_semi"), "pii-edges")
     scores = edges.filter("kind <> ''").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     best = None

@@ -45,6 +45,15 @@ def test_patterns_find_unseen_identifiers(spark):
     assert found[100] == "email:16:30" and found[101] == "" and found[102] == ""
 
 
+def test_patterns_find_identifiers_by_other_patterns(spark):
+    """What one pattern finds makes another one known, in which no seed stands."""
+    rows = [(k, f"Please write to user{k}@mail.example.org about it") for k in range(60)]
+    rows += [(100 + k, f"Please write to clerk{k}@desk about it") for k in range(10)]
+    rows += [(200 + k, f"Signed today by clerk{k}@desk of here") for k in range(10)] + [(300, "Signed today by chief@desk of here")]
+    found = {r["doc_id"]: r["spans"] for r in pii.summary(pii.extract(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert found[100] == "email:16:27" and found[200] == "email:16:27" and found[300] == "email:16:26"
+
+
 def test_redaction(spark, twice):
     rows = [(1, "a x@y.zz b 1.2.3.4 c"), (2, None), (3, ""), (4, "nothing"), (None, "+44 20 7946 0958 rang")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
