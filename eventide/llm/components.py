@@ -1,4 +1,4 @@
-"""Connected components by the smallest label, in rounds of joins."""
+"""Connected components by stars: edges move to the smallest node that they reach, in rounds of joins."""
 
 from __future__ import annotations
 
@@ -11,18 +11,23 @@ from eventide.llm.common import materialize
 def components(links: DataFrame) -> DataFrame:
     """node, label: for every node of links (a, b) the smallest node it is linked with, over any number of links.
 
-    Each round takes the smallest label among the neighbours, then the label's own label; labels go to the shared
-    folder after each. Repeated links, links of a node to itself and an empty table are allowed; nulls are left out.
+    In a round every node first links its larger neighbours, then itself and its smaller ones, to the smallest node
+    that it knows. A round has no more edges than the one before, and in the end one for each node but the smallest of
+    its component. Edges go to the shared folder after each step. Repeated links, links of a node to itself and an
+    empty table are allowed; nulls are left out.
     """
     links = links.select("a", "b").dropna().filter("a <> b")
-    edges = materialize(links.union(links.select("b", "a")).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    edges = materialize(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    state = None
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        up = step.select(F.col("node").alias("top"), F.col("label").alias("further"))
-        step = step.join(up, step.label == up.top).select("node", "was", F.least("label", "further").alias("label"))
-        step = materialize(step, "labels")
-        labels = step.select("node", "label")
-        if step.filter("label <> was").isEmpty():
-            return labels
+        ways = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        up = edges.select(F.col("lo").alias("u"), "hi").join(low, "u").select("hi", F.col("m").alias("lo"))
+        edges = materialize(up.distinct(), "edges")
+        low = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+        down = edges.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        edges = materialize(down.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
+        if now == state:
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(edges.select("lo", "lo").distinct())
+        state = now

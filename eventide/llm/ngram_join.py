@@ -26,6 +26,8 @@ THICK = 2
 ORDERS = 4
 #: Sets of a cluster that are compared in one task, and their n-grams together.
 CHUNK_SETS, CHUNK_GRAMS = 1024, 1_000_000
+#: Sets of each component of a large cluster's chunk that are compared with those of the other chunks first.
+HEADS = 8
 #: N-grams of a chunk whose overlaps are counted at a time.
 COLUMNS = 4096
 
@@ -96,8 +98,21 @@ def fragments(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest that it reaches over edges a - b."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """sig, name: each signature with the smallest name of a batch that has it; the batch's others as further rows (to)."""
+    """sig, name: each signature of a batch's sets, with the smallest set that a set with it reaches within the batch;
+    and, without a signature, every other set with that one (to). So a batch sends one edge for each of its sets at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,14 +126,14 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sigs.append(s.view(np.int64)), names.append(np.full(len(s), name))
             if not any(map(len, sigs)):
                 continue  # small sets link with equal ones only
-            sig, name = np.concatenate(sigs), np.concatenate(names)
-            by = np.lexsort((name, sig))
-            sig, name = sig[by], name[by]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            low = name[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-            near = np.unique(np.stack([name[~new], low[~new]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(name[new]), pa.nulls(int(new.sum()), pa.int64())], names=["sig", "name", "to"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(near), pa.int64()), pa.array(near[:, 0]), pa.array(near[:, 1])], names=["sig", "name", "to"])
+            sig, (known, at) = np.concatenate(sigs), np.unique(np.concatenate(names), return_inverse=True)
+            by = np.argsort(sig, kind="stable")
+            sig, at = sig[by], at[by]
+            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            root = _roots(len(known), at, np.repeat(at[first], np.diff(np.append(first, len(sig)))))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(known[root[at[first]]]), pa.nulls(len(first), pa.int64())], names=["sig", "name", "to"])
+            rest = np.flatnonzero(root != np.arange(len(known)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.array(known[rest]), pa.array(known[root[rest]])], names=["sig", "name", "to"])
 
     return docs.select("text").mapInArrow(tidy(run), "sig long, name long, to long")
 
@@ -152,20 +167,13 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that hold a chunk's sets together: each set with the first of its component, over the links between sides (or within the only one)."""
+    """Pairs that hold a unit's sets together: each set with the first of its component, over the links between sides 1 and 2 (3: both)."""
     n = np.array([len(s) for s in sets], np.float32)
     both = _overlaps(sets)
-    link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    if side.any() and not side.all():
-        link &= side[:, None] != side[None, :]
-    np.fill_diagonal(link, True)
-    label = np.arange(len(sets))
-    while True:
-        low = np.where(link, label[None, :], len(sets)).min(1)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
+    a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
+    apart = (side[a] & 1) & (side[b] >> 1) | (side[b] & 1) & (side[a] >> 1)
+    a, b = a[apart == 1], b[apart == 1]
+    label = _roots(len(sets), a, b)
     own = np.flatnonzero(label != np.arange(len(sets)))
     return names[own], names[label[own]]
 
@@ -173,27 +181,37 @@ def _linked(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent
 UNIT = ["label", "lo", "hi"]
 
 
-def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: pairs that hold the links' components together. Large clusters are cut into chunks, compared two by two."""
-    own = clusters.withColumnRenamed("node", "name").join(where, "name")
-    chunks = own.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
-    own = own.join(chunks, "label").select("id", "name", "label", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+def _chunks(own: DataFrame) -> DataFrame:
+    """label, chunks: into how many chunks of bounded size each label's sets go."""
+    return own.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
+
+
+def _compared(docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: pairs that hold together what links among own (id, name, label, lo, hi, los, his).
+
+    A set is in the unit (label, lo); or, with his, on side 1 of the units (label, lo, 0 to his) and, with its own hi,
+    on side 2 of the units (label, 0 to los, hi). Units are compared each by itself, side with side.
+    """
     texts = docs.select("id", "text").join(own, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[*UNIT, "chunk", "name", "grams"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[*UNIT, "side", "name", "grams"])
 
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
-            name, label, chunk, chunks = (b.column(i).to_pylist() for i in range(1, 5))
+            name, label, lo, hi, los, his = (b.column(i).to_pylist() for i in range(1, 7))
             rows: list[list] = [[], [], [], [], [], []]
             held = 0
             for k, grams in _sets(b.column(0), size):
                 if _name(grams) != name[k]:
                     continue  # another row that has the same id
-                for other in range(chunks[k]):
-                    for c, v in zip(rows, (label[k], min(chunk[k], other), max(chunk[k], other), chunk[k], name[k], grams.tobytes()), strict=True):
+                units = {(lo[k], x): 1 for x in range(his[k])} or {(lo[k], -1): 3}
+                if hi[k] >= 0:
+                    for x in range(los[k]):
+                        units[x, hi[k]] = units.get((x, hi[k]), 0) | 2
+                for (x, y), side in units.items():
+                    for c, v in zip(rows, (label[k], x, y, side, name[k], grams.tobytes()), strict=True):
                         c.append(v)
                     held += grams.nbytes
                     if held > AT_ONCE:
@@ -201,7 +219,7 @@ def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, pe
                         rows, held = [[], [], [], [], [], []], 0
             yield batch()
 
-    parts = texts.select("text", "name", "label", "chunk", "chunks").mapInArrow(tidy(cut), "label long, lo int, hi int, chunk int, name long, grams binary")
+    parts = texts.select("text", "name", "label", "lo", "hi", "los", "his").mapInArrow(tidy(cut), "label long, lo int, hi int, side int, name long, grams binary")
     parts = parts.repartition(*UNIT).sortWithinPartitions(*UNIT)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,23 +229,57 @@ def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, pe
         def done() -> pa.RecordBatch:
             a, b = (), ()
             if len(held) > 1:
-                names = np.array(list(held))
-                a, b = _linked(names, [np.frombuffer(g, np.uint64) for g, _ in held.values()], np.array([c != unit[1] for _, c in held.values()]), percent)
+                names = np.array(sorted(held))
+                a, b = _linked(names, [np.frombuffer(held[x][0], np.uint64) for x in names.tolist()], np.array([held[x][1] for x in names.tolist()]), percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for label, lo, hi, chunk, name, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for label, lo, hi, side, name, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (label, lo, hi) != unit:
                     if held:
                         yield done()
                     unit, held = (label, lo, hi), {}
-                held[name] = grams, chunk
+                held[name] = grams, side
         if held:
             yield done()
 
     return parts.mapInArrow(tidy(compare), "a long, b long")
 
 
+def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: pairs that hold the links' components together.
+
+    A cluster is cut into chunks, of which each is compared within. Where a cluster has several, some sets of each
+    component found so far are compared next, which joins the components of copies. Last, what is not in a cluster's
+    largest component meets the cluster's sets of all other chunks: so every pair that no chain of links joins already
+    has been counted, and a group of copies costs in proportion to its size.
+    """
+    own = materialize(clusters.withColumnRenamed("node", "name").join(where, "name").select("id", "name", "label", "n"), "ngram-clusters")
+    chunks = materialize(_chunks(own), "ngram-chunks")
+    spread = lambda n, salt=0: F.pmod(F.xxhash64("name", F.lit(salt)), F.col(n)).cast("int")
+    alone = [F.lit(-1).alias("hi"), F.lit(0).alias("los"), F.lit(0).alias("his")]
+    links = materialize(_compared(docs, own.join(chunks, "label").select("id", "name", "label", spread("chunks").alias("lo"), *alone), size, percent), "ngram-links")
+    wide = chunks.filter("chunks > 1")
+    if wide.isEmpty():
+        return links
+    own = own.join(wide.withColumnRenamed("chunks", "los"), "label")
+
+    def grouped(found: DataFrame) -> DataFrame:
+        held = components(found.join(own.select(F.col("name").alias("a")), "a", "left_semi")).select(F.col("node").alias("name"), F.col("label").alias("group"))
+        return materialize(own.join(held, "name", "left").withColumn("group", F.coalesce("group", "name")), "ngram-groups")
+
+    some = grouped(links).withColumn("place", F.row_number().over(Window.partitionBy("label", "group").orderBy(F.xxhash64("name"), "name"))).filter(F.col("place") <= HEADS)
+    some = materialize(some, "ngram-heads")
+    heads = some.join(_chunks(some), "label").select("id", "name", "label", spread("chunks", 1).alias("lo"), *alone)
+    links = links.union(materialize(_compared(docs, heads, size, percent), "ngram-links"))
+    groups = grouped(links)
+    largest = groups.groupBy("label", "group").agg(F.count(F.lit(1)).alias("sets")).groupBy("label").agg(F.max_by("group", F.struct("sets", "group")).alias("largest"))
+    groups = groups.join(largest, "label").withColumn("rest", F.col("group") != F.col("largest"))
+    rest = _chunks(groups.filter("rest")).withColumnRenamed("chunks", "his")
+    last = materialize(groups.join(rest, "label").select("id", "name", "label", spread("los").alias("lo"), F.when(F.col("rest"), spread("his")).otherwise(-1).alias("hi"), "los", "his"), "ngram-rest")
+    return links if last.isEmpty() else links.union(materialize(_compared(docs, last, size, percent), "ngram-links"))
+
+
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id of every row: the smallest id that it reaches by links, itself included.
 
@@ -243,7 +295,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: st
     known = docs.filter("id is not null")
     where = rows.filter("id is not null AND n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     clusters = _clusters(known, size, percent)
-    labels = components(materialize(_links(known, where, clusters, size, percent), "ngram-links"))
+    labels = components(_links(known, where, clusters, size, percent))
     # a component's name becomes its smallest id; rows of one id are one document
     best = where.join(labels, where.name == labels.node, "left").select("name", "id", F.coalesce("label", "name").alias("label"))
     lowest = best.groupBy("label").agg(F.min("id").alias("component_id"))
