@@ -7,6 +7,10 @@ stands in a pattern of high confidence is found too, though its form alone would
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,32 +26,57 @@ FORMS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a pattern may discover: a token of 6 to 80 characters with four digits in a row or an at sign.
-TOKEN = r"(?<!\S)(?=\S{0,76}[0-9]{4}|\S{1,79}@)\S{6,80}+(?!\S)"
+#: What a pattern may discover: a run of tokens that each have a digit or an at sign, with single spaces and signs of phone
+#: numbers between them. A card or phone number never reaches beyond one, nor does what has no white space.
+TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++(?:\x20[\x20().-]*+(?=[^\s0-9@]*+[0-9@])\S++)*+"
+#: Punctuation before and after a run does not belong to it.
+EDGE, CORE = r"^[^\p{L}\p{N}@+]*+", r"(?s)[\p{L}\p{N}@+](?:.*[\p{L}\p{N}@])?"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Characters before and after a match in which its context is looked for.
-AROUND = 80
+#: The two words before a value and the word after it, whatever punctuation clings to the value.
+LEFT = r"(?<!\S)(\S++\s++\S++)\s++[^\s\p{L}\p{N}@]*+$"
+RIGHT = r"^[^\s\p{L}\p{N}@]*+\s++(\S++)"
 SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
+#: Elements of a block. A fold copies what it holds at each step, so that long arrays are folded block by block.
+BLOCK = 128
 
 
 def _may(kind: str, text: Column) -> Column:
     """A cheap test that skips texts without any match."""
-    return {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "token": text.rlike(r"[0-9]{4}|@")}[kind]
+    return {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "token": text.rlike("[0-9@]")}[kind]
+
+
+def _in_blocks(items: Column) -> Column:
+    """A column's array cut into arrays of BLOCK elements. The column must not be an expression, which every block would compute."""
+    none = F.array().cast("array<bigint>")
+    return F.transform(F.when(F.size(items) > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((F.size(items) - 1) / BLOCK))).otherwise(none), lambda i: F.slice(items, (i * BLOCK + 1).cast("int"), BLOCK))
+
+
+def _running(numbers: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The results of op over each number and all before it, from 0: of a short array."""
+    return F.slice(F.aggregate(numbers, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))), 2, F.greatest(F.size(numbers), F.lit(1)))
+
+
+def _all_running(blocks: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The same of a long array, from the running results of its blocks: what op gives for all before a block goes into each."""
+    before = F.concat(F.array(F.lit(0)), _running(F.transform(blocks, lambda b: F.element_at(b, -1)), op))
+    return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, o: F.transform(b, lambda x: op(x, o))))
+
 
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
-def _spans(kind: str, matches: Column, pieces: Column) -> Column:
-    """Matches with their places in code points, by adding up what stands between them."""
-    zipped = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("before"), F.slice(pieces, 2, F.size(matches)).alias("after"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["m"])
-        left = F.regexp_extract(F.lower(F.right(x["before"], F.lit(AROUND))), r"(\S{1,30}\s{1,3}\S{1,30})\s{1,3}$", 1)
-        right = F.regexp_extract(F.lower(F.left(x["after"], F.lit(AROUND))), r"^\s{1,3}(\S{1,30})(?=\s|$)", 1)
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.regexp_replace(left, r"\s+", " ").alias("left"), right.alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+def _spans(kind: str, zipped: Column, ends: Column) -> Column:
+    """Matches (m, before, after) with their places in code points; of the runs of tokens what is within EDGE."""
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), add, lambda acc: acc["out"])
+    def span(x: Column, end: Column) -> Column:
+        value, start = x["m"], end - F.length(x["m"])
+        if kind == "token":
+            value, start = F.regexp_extract(x["m"], CORE, 0), start + F.length(F.regexp_extract(x["m"], EDGE, 0))
+        left = F.regexp_replace(F.regexp_extract(F.lower(x["before"]), LEFT, 1), r"\s+", " ")
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), left.alias("left"), F.regexp_extract(F.lower(x["after"]), RIGHT, 1).alias("right"))
+
+    return F.zip_with(zipped, ends, span)
 
 
 def _digits(value: Column) -> Column:
@@ -66,26 +95,39 @@ def _luhn(value: Column) -> Column:
 
 
 VALID = {
-    "email": lambda x: x["value"].isNotNull(),
-    "ip": lambda x: x["value"].rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"),
-    "card": lambda x: _luhn(x["value"]),
-    "phone": lambda x: F.length(_digits(x["value"])).between(9, 15),
+    "email": lambda value: value.isNotNull(),
+    "ip": lambda value: value.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"),
+    "card": lambda value: _luhn(value),
+    "phone": lambda value: F.length(_digits(value)).between(9, 15),
 }
 
 
+def _valid(kind: str) -> Callable[[Column], Column]:
+    return lambda x: VALID[kind](x["value"])
+
+
 def mentions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, tag (hash of the text), base (the seed entities) and others (tokens that may be discovered) of every row."""
+    """id, tag (hash of the text), base (the seed entities) and others (what may be discovered) of every row.
+
+    Others are runs of tokens with a digit or an at sign each, without punctuation at their ends, that hold no seed entity.
+    """
     text = F.col("body")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     forms = FORMS | {"token": TOKEN}
+    holds = lambda x: reduce(or_, (F.exists(F.regexp_extract_all(x["value"], F.lit(rx), F.lit(0)), VALID[k]) for k, rx in FORMS.items()))
     rows = rows.select(
         "id",
         F.xxhash64("body").alias("tag"),
         *(F.when(_may(k, text), F.regexp_extract_all(text, F.lit(rx), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"m_{k}") for k, rx in forms.items()),
         *(F.when(_may(k, text), F.split(text, rx, -1)).otherwise(F.array().cast("array<string>")).alias(f"p_{k}") for k, rx in forms.items()),
     )
-    base = F.concat(*(F.filter(_spans(k, F.col(f"m_{k}"), F.col(f"p_{k}")), VALID[k]) for k in KINDS))
-    return rows.select("id", "tag", base.alias("base"), _spans("token", F.col("m_token"), F.col("p_token")).alias("others"))
+    zipped = lambda k: F.arrays_zip(F.col(f"m_{k}").alias("m"), F.slice(f"p_{k}", 1, F.size(f"m_{k}")).alias("before"), F.slice(f"p_{k}", 2, F.size(f"m_{k}")).alias("after"))
+    # each step's columns are used more than once in the next, which keeps them from being computed again for each block
+    rows = rows.select("id", "tag", *(zipped(k).alias(f"z_{k}") for k in forms), *(F.transform(zipped(k), lambda x: F.length(x["before"]) + F.length(x["m"])).alias(f"n_{k}") for k in forms))
+    rows = rows.select("id", "tag", *(f"z_{k}" for k in forms), *(F.transform(_in_blocks(F.col(f"n_{k}")), lambda b: _running(b, _add)).alias(f"b_{k}") for k in forms))
+    rows = rows.select("id", "tag", *(_spans(k, F.col(f"z_{k}"), _all_running(F.col(f"b_{k}"), _add)).alias(f"s_{k}") for k in forms))
+    base = F.concat(*(F.filter(f"s_{k}", _valid(k)) for k in KINDS))
+    return rows.select("id", "tag", base.alias("base"), F.filter("s_token", lambda x: x["value"].rlike("[0-9@]") & ~holds(x)).alias("others"))
 
 
 ROUNDS, LEAST_SCORE, LEAST_VALUES = 3, 0.8, 3
@@ -100,7 +142,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS, least: float = LEAST_SCORE,
     and value, so that repeated copies weigh nothing and hot patterns are summed before they are shuffled.
     """
     seeds = found.select(F.explode("base").alias("s")).select("s.*")
-    loose = found.select("id", "tag", "base", F.explode("others").alias("s")).filter(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))).select("id", "tag", "s.*")
+    loose = found.select("id", "tag", F.explode("others").alias("s")).select("id", "tag", "s.*")
 
     def patterns(df: DataFrame) -> DataFrame:
         last = F.regexp_extract("left", r"(\S+)$", 1)
@@ -149,9 +191,9 @@ def extract(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 def summary(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The columns n_email, n_ip, n_card, n_phone, base_sha256 and spans (as a string) of extract()."""
+    """The columns n_email, n_ip, n_card, n_phone, base_sha256, spans (as a string) and n_spans (all of them) of extract()."""
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return spans.select(id_col, *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return spans.select(id_col, *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -165,11 +207,25 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn(tag, F.xxhash64(body)).join(spans, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(tag) == F.col(own_tag)), "left")
 
-    def add(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substr(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(kept, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))).otherwise(acc["out"]).alias("out"))
+    ends, parts, blocks = (unused(docs, n) for n in ("_ends", "_parts", "_blocks"))
+    rows = rows.withColumn(ends, F.transform(cuts, lambda x: x["end"]))
+    rows = rows.withColumn(blocks, F.transform(_in_blocks(F.col(ends)), lambda b: _running(b, F.greatest)))
+
+    def part(x: Column, end: Column, at: Column) -> Column:
+        """What is kept before a span, and its mark; a span that begins within another one has neither."""
+        fresh = x["start"] >= at
+        mark = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        return F.struct(at.alias("from"), F.when(fresh, x["start"]).otherwise(at).alias("to"), F.when(fresh, mark).otherwise("").alias("mark"), end.alias("end"))
+
+    reached = _all_running(F.col(blocks), F.greatest)
+    rows = rows.withColumn(ends, reached).withColumn(parts, F.zip_with(F.zip_with(cuts, ends, lambda x, end: F.struct(x.alias("x"), end.alias("end"))), F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(cuts) - 1, F.lit(0)))), lambda y, at: part(y["x"], y["end"], at)))
+
+    def said(block: Column) -> Column:
+        """A block's text is taken out of the whole once, and its parts out of that."""
+        first = block[0]["from"]
+        whole = F.substr(F.col(text_col), first + 1, F.element_at(block, -1)["to"] - first)
+        return F.transform(F.array(whole), lambda w: F.array_join(F.transform(block, lambda x: F.concat(F.substr(w, x["from"] - first + 1, x["to"] - x["from"]), x["mark"])), ""))[0]
 
-    last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    cut = F.aggregate(cuts, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, last)
+    last = F.substr(F.col(text_col), F.element_at(F.col(parts), -1)["end"] + 1, F.length(text_col))
+    cut = F.concat(F.array_join(F.transform(_in_blocks(F.col(parts)), said), ""), last)
     return rows.withColumn(text_col, F.when(F.col(cuts).isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)

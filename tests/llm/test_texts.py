@@ -54,6 +54,26 @@ def test_patterns_find_identifiers_by_other_patterns(spark):
     assert found[100] == "email:16:27" and found[200] == "email:16:27" and found[300] == "email:16:26"
 
 
+def test_patterns_find_groups_and_trim(spark):
+    """Identifiers of several tokens and of any length are found; punctuation around them stays outside."""
+    rows = [(k, f"You can ring us on +44 20 7946 0{100 + k} during the day") for k in range(40)]
+    rows += [(100, "You can ring us on 030 12 34 5 during the day"), (101, "You can ring us on (0301), during the day"), (102, "It ran on 030 12 34 5 machines")]
+    found = {r["doc_id"]: r["spans"] for r in pii.summary(pii.extract(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert (found[100], found[101], found[102]) == ("phone:19:30", "phone:20:24", "")
+
+
+def test_very_long_texts_of_many_spans(spark):
+    """Time and memory grow with a text's length, not with its square."""
+    words = [f"user{k}@mail.example.org" if k % 10 == 0 else f"10.0.{k % 256}.{k // 256 % 256}" if k % 10 == 5 else f"id{k}" if k % 2 else "word" for k in range(100_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.summary(pii.extract(df)).first()
+    counts, spans = brute.personal_data(text)
+    assert [r[f"n_{k}"] for k in pii.KINDS] == counts and r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+    want = " ".join("[EMAIL]" if k % 10 == 0 else "[IP]" if k % 10 == 5 else w for k, w in enumerate(words))
+    assert pii.redact(df).first()["text"] == want
+
+
 def test_redaction(spark, twice):
     rows = [(1, "a x@y.zz b 1.2.3.4 c"), (2, None), (3, ""), (4, "nothing"), (None, "+44 20 7946 0958 rang")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
