@@ -55,8 +55,8 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int =
     return at[first], np.diff(np.append(first, len(at))), low[first], row[first]
 
 
-PIECE = "gram long, body long, key long, tag long, start int, windows int, cover int, times int"
-PIECE_NAMES = ["gram", "body", "key", "tag", "start", "windows", "cover", "times"]
+PIECE = "gram long, body long, key long, tag long, start int, windows int, times int"
+PIECE_NAMES = ["gram", "body", "key", "tag", "start", "windows", "times"]
 
 
 def _pieces(docs: DataFrame, length: int) -> DataFrame:
@@ -76,36 +76,48 @@ def _pieces(docs: DataFrame, length: int) -> DataFrame:
                 new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (body[1:] != body[:-1])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(start)))
-                cover = np.add.reduceat(windows, first) if len(first) else windows
                 start = start - (own - own[0])[row]
-                cols = [gram[first].view(np.int64), body[first].view(np.int64), keys[row[first] + x], tags[row[first] + x], start[first].astype(np.int32), windows[first].astype(np.int32), cover.astype(np.int32), times.astype(np.int32)]
+                cols = [gram[first].view(np.int64), body[first].view(np.int64), keys[row[first] + x], tags[row[first] + x], start[first].astype(np.int32), windows[first].astype(np.int32), times.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=PIECE_NAMES)
 
     return docs.select("key", "tag", "text").mapInArrow(tidy(run), PIECE)
 
 
 class RunLengthIndex:
-    """A block of texts: the runs of its Burrows-Wheeler transform and, at each run's ends, a sample of the suffix array.
+    """A block of texts: the runs of its Burrows-Wheeler transform, with a sample for each run's first and last symbol.
 
-    A sample keeps where in the text the run's end lies, and how long the match with the suffix before (at a run's
-    start) or after it (at a run's end) is. Between samples both neighbours just move along, so the samples give the
-    matching statistics of every place of the block against all others.
+    A step from a row of the transform to the row of the text one symbol longer (LF) takes the row's run only: where the
+    rows of the run's symbol go. The rows before and after go along as long as they are in the same run, so that what a
+    row has in common with them grows by one; at a run's end it is another row that comes to stand there, and the
+    sample says what they have in common. So all texts of the block are streamed at once, from their ends to their
+    beginnings, and each place learns its longest match with any other. The suffix array itself is not kept.
     """
 
     def __init__(self, texts: list[bytes]):
-        sizes = np.array([len(t) for t in texts])
-        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]])
         body = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64) + 1
-        body[self.starts + sizes] = 0  # a separator, below every byte
+        body[self.starts + self.sizes] = 0  # a separator, below every byte
         n, self.body = len(body), body
         self.n = n
         order, levels = self._suffixes(body)
-        before = np.where(order > 0, body[order - 1], -1)  # what stands before the whole is like nothing else
-        edge = np.flatnonzero(before[1:] != before[:-1]) + 1
-        self.run_symbol = before[np.append(0, edge)]
-        self.run_length = np.diff(np.concatenate([[0], edge, [n]]))
-        self.heads, self.head_match = order[edge], self._match(levels, order[edge - 1], order[edge])
-        self.tails, self.tail_match = order[edge - 1], self.head_match
+        before = body[order - 1]  # before the whole stands the last separator
+        head = np.append(0, np.flatnonzero(before[1:] != before[:-1]) + 1)
+        self.run_start, self.run_symbol = head, before[head]
+        self.run_length = np.diff(np.append(head, n))
+        # where the first row of each run goes: after the rows of smaller symbols and of its own in earlier runs
+        by = np.argsort(self.run_symbol, kind="stable")
+        self.run_to = np.empty(len(head), np.int64)
+        self.run_to[by] = np.cumsum(self.run_length[by]) - self.run_length[by]
+        # separators alike are told apart by what follows them, as their rows are; so every step keeps the rows' order
+        first, last = self.run_to, self.run_to + self.run_length - 1
+        self.head_match, self.tail_match = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+        self.head_match[first > 0] = self._match(levels, order[first[first > 0] - 1], order[first[first > 0]])
+        self.tail_match[last < n - 1] = self._match(levels, order[last[last < n - 1]], order[last[last < n - 1] + 1])
+        rows = np.empty(n, np.int64)
+        rows[order] = np.arange(n)
+        self.end_rows = rows[self.starts + self.sizes]
+        del self.body
 
     @staticmethod
     def _suffixes(body: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -157,16 +169,19 @@ class RunLengthIndex:
 
     def matching_statistics(self) -> np.ndarray:
         """For every place the length of its longest match with another place; one that reaches its text's end may count what follows."""
-        place = np.arange(self.n)
         best = np.zeros(self.n, np.int64)
-        for samples, match in ((self.heads, self.head_match), (self.tails, self.tail_match)):
-            length = np.zeros(self.n, np.int64)
-            length[samples] = match
-            marked = np.zeros(self.n, bool)
-            marked[samples] = True
-            last = np.maximum.accumulate(np.where(marked, place, -1))
-            seen = last >= 0
-            best[seen] = np.maximum(best[seen], length[last[seen]] - (place[seen] - last[seen]))
+        by = np.argsort(-self.sizes, kind="stable")  # the longest first: those that still go on stand in front
+        row, at, left = self.end_rows[by], (self.starts + self.sizes)[by], self.sizes[by]
+        above, below = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        for step in range(int(left[0]) if len(left) else 0):
+            m = int(np.searchsorted(-left, -step, "left"))  # texts longer than this
+            row, at, above, below = row[:m], at[:m] - 1, above[:m], below[:m]
+            run = np.searchsorted(self.run_start, row, "right") - 1
+            inner = row - self.run_start[run]
+            above = np.where(inner > 0, above + 1, self.head_match[run])
+            below = np.where(inner < self.run_length[run] - 1, below + 1, self.tail_match[run])
+            row = self.run_to[run] + inner
+            best[at] = np.maximum(above, below)
         return best
 
 
@@ -206,16 +221,17 @@ _SPAN_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _indexed(contents: DataFrame, length: int) -> DataFrame:
-    """gram, body, spans: what repeats of the pieces that stand once, by the run-length index of each block."""
+    """gram, body, spans: what repeats of each piece, by the run-length index of its block.
+
+    A piece that stands several times is held twice, which is all that its other copies could tell.
+    """
 
     def block(held: dict[int, tuple[int, int, bytes]]) -> pa.RecordBatch:
         rows = list(held.values())
-        index = RunLengthIndex([t for _, _, t in rows])
+        index = RunLengthIndex([t for _, _, t in rows] + [t for _, c, t in rows if c > 1])
         long_enough = np.concatenate([index.matching_statistics() >= length, [False]])
         out: list[list] = [[], [], []]
-        for (gram, c, text), body, first in zip(rows, held, index.starts.tolist(), strict=True):
-            if c > 1:
-                continue
+        for (gram, _, text), body, first in zip(rows, held, index.starts.tolist(), strict=False):
             here = np.zeros(len(text) - length + 3, np.int8)
             here[1:-1] = long_enough[first : first + len(text) - length + 1]
             edge = np.diff(here)
@@ -235,7 +251,7 @@ def _indexed(contents: DataFrame, length: int) -> DataFrame:
                 last = gram
                 if body not in held:
                     held[body] = gram, c, text
-                    size += len(text)
+                    size += len(text) * (2 if c > 1 else 1)
         if held:
             yield block(held)
 
@@ -253,8 +269,8 @@ def _windowed(contents: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[::2]), pa.array(names[1::2]), pa.array(np.full(n, gram)), pa.array(np.full(n, body)), pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32))], names=["w1", "w2", "gram", "body", "c", "a"])
 
     rows = materialize(contents.mapInArrow(tidy(run), "w1 long, w2 long, gram long, body long, c long, a int"), "windows")
-    again = rows.select("w1", "w2", "gram", "body").distinct().groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hits = rows.filter("c = 1").join(again, ["w1", "w2"], "left_semi")
+    again = rows.select("w1", "w2", "gram", "body", "c").distinct().groupBy("w1", "w2").agg(F.sum("c").alias("n")).filter("n > 1")
+    hits = rows.join(again, ["w1", "w2"], "left_semi")
     return hits.groupBy("gram", "body").agg(F.sort_array(F.collect_set(F.struct("a", (F.col("a") + length).alias("b")))).alias("spans"))  # at most length - k + 1
 
 
@@ -265,16 +281,17 @@ def _marked(docs: DataFrame, length: int) -> DataFrame:
     found = materialize(found.join(often, "gram", "left_semi"), "pieces")
     one = found.groupBy("gram", "body").agg(F.sum("times").alias("c"), *(F.first(c).alias(c) for c in ("key", "tag", "start", "windows")))
     one = materialize(one, "bodies")
-    kinds = one.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    shared = materialize(one.join(kinds, "gram"), "shared")
+    kinds = one.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.max("c").alias("most")).filter("kinds > 1 OR most > 1")
+    shared = materialize(one.join(kinds.drop("most"), "gram"), "shared")
     spans = [_indexed(_contents(docs, shared.filter(F.col("kinds") <= BLOCK_PIECES), length), length)]
     hot = shared.filter(F.col("kinds") > BLOCK_PIECES)
     if not hot.isEmpty():
         spans.append(_windowed(_contents(docs, hot, length), length))
     part = materialize(spans[0] if len(spans) == 1 else spans[0].union(spans[1]), "spans")
-    whole = found.join(one.filter("c > 1").select("gram", "body"), ["gram", "body"], "left_semi").select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("cover") + length - 1).alias("b"))
-    some = found.join(part, ["gram", "body"]).select("key", "tag", "start", F.explode("spans").alias("s")).select("key", "tag", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
-    return whole.union(some).groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by one text
+    # a run of equal neighbours is one piece after the other, all of them marked from end to end
+    some = found.join(part, ["gram", "body"]).select("key", "tag", "start", (F.col("start") + F.col("windows") * (F.col("times") - 1)).alias("last"), F.explode("spans").alias("s"))
+    some = some.select("key", "tag", (F.col("start") + F.col("s.a")).alias("a"), (F.col("last") + F.col("s.b")).alias("b"))
+    return some.groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by one text
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, keep: bool = True) -> DataFrame:
