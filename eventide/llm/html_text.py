@@ -35,17 +35,46 @@ RAW = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "noemb
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A new element of the first kind ends an open one of the second.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+P_ONLY = frozenset(["p"])
 SCOPE = frozenset("ul ol dl table article section div main body".split())
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag, by HTML's rules for attributes: values in quotes, or up to white space or ">"; a quote that nothing closes is a letter.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)?)*+)>")
+NAMED = re.compile(r"(?<![^\s/\"'])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))", re.I)
+ENDS = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-class Block:
+class Page:
+    """What a page holds.
+
+    nodes: of each style node (0: the page) its parent, label and hash; a node is known by the labels from the root to
+    it, which its hash takes in one by one. children: node -> labels of its elements. blocks: of each block of text, in
+    page order, its node, the text, and whether it is in an aside and in an article.
+    """
+
+    def __init__(self):
+        self.parent, self.label, self.hash = [-1], [""], [0]
+        self.known: dict[tuple[int, str], int] = {}
+        self.children: dict[int, list[str]] = {}
+        self.blocks: list[tuple[int, str, bool, bool]] = []
+
+    def below(self, node: int, label: str) -> int:
+        self.children.setdefault(node, []).append(label)
+        k = self.known.setdefault((node, label), len(self.label))
+        if k == len(self.label):
+            self.parent.append(node)
+            self.label.append(label)
+            self.hash.append(_short(f"{self.hash[node]}/{label}"))
+        return k
+
+
+class Part:
+    """Text that stands together: its node, whether in an aside and in an article, and the innermost element named as an aside (-1: none)."""
+
     __slots__ = ("aside", "main", "named", "node", "parts")
 
-    def __init__(self, node: str, aside: bool, main: bool, named: tuple[int, ...]):
+    def __init__(self, node: int, aside: bool, main: bool, named: int):
         self.node, self.aside, self.main, self.named, self.parts = node, aside, main, named, []
 
 
@@ -61,115 +90,138 @@ def _aside_name(names: str) -> str:
     return kind
 
 
-def _drop_named(found: list[tuple[str, str, bool, bool, tuple[int, ...]]], kinds: list[str], whole: set[int]) -> set[int]:
-    """Which of the elements named as asides are asides: not what holds most of the text of the page's articles (of the
-    page, without one), unless readers wrote it; not what holds an article, if its name says more than that it is an
-    aside (a sidebar has teasers, which may be articles too); and none that leaves no text."""
+def _dropped(found: list[tuple[int, str, bool, bool, int]], kinds: list[str], up: list[int], whole: list[bool]) -> list[bool]:
+    """Which of the elements named as asides are asides, or in one: not what holds most of the text of the page's articles (of
+    the page, without one), unless readers wrote it; not what holds an article, if its name says more than that it is an
+    aside (a sidebar has teasers, which may be articles too); and none that leaves no text. up: the named element around each."""
     own = [b for b in found if not b[2]]
     if any(b[3] for b in own):
         own = [b for b in own if b[3]]
-    size: Counter = Counter()
+    size = [0] * len(kinds)
     for _, said, _, _, named in own:
-        for k in named:
-            size[k] += len(said)
+        if named >= 0:
+            size[named] += len(said)
+    for k in range(len(kinds) - 1, -1, -1):
+        if up[k] >= 0:
+            size[up[k]] += size[k]
+            whole[up[k]] |= whole[k]
     total = sum(len(b[1]) for b in own)
-    drop = {k for k, kind in enumerate(kinds) if size[k] < total and (kind == "remarks" or 2 * size[k] <= total and not (kind == "part" and k in whole))}
-    return drop if any(drop.isdisjoint(b[4]) for b in own) else set()
+    gone = [size[k] < total and (kind == "remarks" or 2 * size[k] <= total and not (kind == "part" and whole[k])) for k, kind in enumerate(kinds)]
+    for k, over in enumerate(up):
+        gone[k] |= over >= 0 and gone[over]
+    return gone if any(b[4] < 0 or not gone[b[4]] for b in own) else [False] * len(kinds)
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[str]]]:
-    """The blocks of text in page order (style node, text, in an aside, in an article), and the children of each style node.
+def parse(page: str | None) -> Page:
+    """A page's style nodes and blocks of text, in one pass whose time is in proportion to the page's length, however it nests.
 
-    A style node is the path of block elements from the root, with their names in class and id.
-    An aside is known by its element or by its name, see _drop_named().
+    A style node is a block element with the names in its class, id and role. An aside is known by its element or by its
+    name, see _dropped(). Markup that the end of the page cuts off is no text; nor is a comment that nothing closes.
     """
-    page = page or ""
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]  # tag, node, aside, main, elements named as asides
+    page, out = page or "", Page()
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]  # tag, node, in an aside, in an article, element named as an aside
+    scopes: list[Counter] = [Counter()]  # tags that are open in each open element of SCOPE
+    opened: Counter = Counter()
     kinds: list[str] = []
-    whole: set[int] = set()
-    out: list[Block] = []
-    shape: dict[str, list[str]] = {}
-    now = Block("", False, False, ())
+    up: list[int] = []
+    whole: list[bool] = []
+    done: list[Part] = []
+    now = Part(0, False, False, -1)
 
     def fresh():
         nonlocal now
         if now.parts:
-            out.append(now)
-        now = Block(*stack[-1][1:])
+            done.append(now)
+        now = Part(*stack[-1][1:])
 
     def text(s: str):
-        nonlocal now
         if s:
             if stack[-1][2:] != (now.aside, now.main, now.named):
                 fresh()
             now.parts.append(s)
 
     def close(k: int):
-        apart = any(t not in INLINE for t, *_ in stack[k:])
-        del stack[k:]
+        apart = False
+        while len(stack) > k:
+            tag = stack.pop()[0]
+            apart |= tag not in INLINE
+            opened[tag] -= 1
+            if tag in SCOPE:
+                scopes.pop()
+            scopes[-1][tag] -= 1
         if apart:
             fresh()
 
     at, n = 0, len(page)
     while at < n:
-        m = MARK.search(page, at)
-        if not m:
+        mark = page.find("<", at)
+        if mark < 0 or mark == n - 1:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        text(page[at:mark])
+        ahead = page[mark + 1]
+        if ahead in "!?":
+            comment = page.startswith("<!--", mark)
+            end = page.find("-->", mark + 2) if comment else page.find(">", mark)
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
             continue
+        if not (ahead.isascii() and ahead.isalpha() or ahead == "/" and page[mark + 2 : mark + 3].isascii() and page[mark + 2 : mark + 3].isalpha()):
+            text("<")
+            at = mark + 1
+            continue
+        m = TAG.match(page, mark)
+        if not m:
+            break  # no tag ends from here on
+        at, tag = m.end(), m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in ENDS_P or tag in SELF_CLOSING:
-            ends = {"p"} if tag in ENDS_P else SELF_CLOSING[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            ends = P_ONLY if tag in ENDS_P else SELF_CLOSING[tag]
+            if any(scopes[-1][t] > 0 for t in ends):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ends))
         named = NAMED.findall(m[3]) if m[3] else ()
         names = " ".join(a or b or c for _, a, b, c in named)
         _, node, aside, main, under = stack[-1]
         if tag not in INLINE:
-            label = tag + "".join(sorted("." + w for w in {re.sub(r"\d+", "", x) for x in names.split()} if w))
-            shape.setdefault(node, []).append(label)
-            node = f"{node}/{label}"
+            node = out.below(node, tag + "".join(sorted("." + w for w in {re.sub(r"\d+", "", x) for x in names.split()} if w)))
         aside = aside or tag in ASIDE_TAGS
         article = tag in MAIN_TAGS or any(k.lower() == "role" and "main" in (a or b or c) for k, a, b, c in named)
         if article and not aside:
-            whole.update(under)
+            if under >= 0:
+                whole[under] = True
         elif names and tag not in WHOLE and (kind := _aside_name(names)):
-            under = (*under, len(kinds))
-            kinds.append(kind)
+            kinds.append(kind), up.append(under), whole.append(False)
+            under = len(kinds) - 1
         main = main or article
         if tag in VOID or m[3].endswith("/") and tag in INLINE:
             if tag not in INLINE:
                 fresh()
             continue
         stack.append((tag, node, aside, main, under))
+        opened[tag] += 1
+        scopes[-1][tag] += 1
+        if tag in SCOPE:
+            scopes.append(Counter())
         if tag not in INLINE:
             fresh()
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            end = ENDS[tag].search(page, at)
             stop = end.start() if end else n
             text(page[at:stop])
             at = stop
     fresh()
     found = []
-    for b in out:
+    for b in done:
         said = " ".join(html.unescape("".join(b.parts)).split())
         if said:
             found.append((b.node, said, b.aside, b.main, b.named))
-    drop = _drop_named(found, kinds, whole) if kinds else set()
-    return [(node, said, aside or not drop.isdisjoint(named), main) for node, said, aside, main, named in found], shape
+    gone = _dropped(found, kinds, up, whole) if kinds else []
+    out.blocks = [(node, said, aside or k >= 0 and gone[k], main) for node, said, aside, main, k in found]
+    return out
 
 
 def _short(x: str) -> int:
@@ -195,19 +247,18 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             sums: Counter = Counter()
             logs: Counter = Counter()
             for host, page, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found, shape = blocks(page)
-                said = Counter((node, text) for node, text, _, _ in found)
+                had = parse(page)
+                said = Counter((node, text) for node, text, _, _ in had.blocks)
                 for (node, text), c in said.items():
-                    key = (host, _short(node), "text", _short(text))
+                    key = (host, had.hash[node], "text", _short(text))
                     sums[key] += c * share
                     logs[key] += c * math.log(c) * share
-                for node, children in shape.items():
-                    sums[host, _short(node), "style", _short(" ".join(dict.fromkeys(children)))] += share
-                for node in {n for n, _ in said} | shape.keys():
-                    sums[host, _short(node), "page", 0] += share
-                    steps = node.split("/")
-                    for k in range(1, len(steps)):
-                        sums[host, _short(node), "under", _short("/".join(steps[:k]))] += share
+                for node, children in had.children.items():
+                    sums[host, had.hash[node], "style", _short(" ".join(dict.fromkeys(children)))] += share
+                for node in {n for n, _ in said} | had.children.keys():
+                    sums[host, had.hash[node], "page", 0] += share
+                for node, over in enumerate(had.parent[1:], 1):
+                    sums[host, had.hash[node], "parent", had.hash[over]] += share
             keys = list(zip(*sums, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.string()), pa.array(keys[3], pa.int64()), pa.array([float(n) for n in sums.values()], pa.float64()), pa.array([float(logs[k]) for k in sums], pa.float64())],
@@ -222,7 +273,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     rows = work.mapInArrow(tidy(run), "host string, node long, kind string, feature long, n double, clogc double")
     each = materialize(rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("clogc").alias("clogc")), "style-features")
     text, style, page = (F.col("kind") == k for k in ("text", "style", "page"))
-    node = each.filter("kind <> 'under'").groupBy("host", "node").agg(
+    node = each.filter("kind <> 'parent'").groupBy("host", "node").agg(
         F.round(F.max(F.when(page, F.col("n")))).cast("long").alias("pages"),
         F.avg(F.when(text, F.log("n") - F.col("clogc") / F.col("n"))).alias("repeats"),
         F.sum(F.when(style, F.col("n") * F.log("n"))).alias("style_nlogn"),
@@ -232,9 +283,25 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     content = 1 - F.col("repeats") / base
     presentation = (F.log("style_n") - F.col("style_nlogn") / F.col("style_n")) / base
     own = node.select("host", "node", "pages", F.when(F.col("pages") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(content, F.lit(0.0)), F.coalesce(presentation, F.lit(0.0)))).alias("importance"))
-    own = materialize(own.withColumn("variants", F.pow("pages", "importance")), "style-nodes")
-    branch = each.filter("kind = 'under'").select("host", "node", F.col("feature").alias("top")).join(own.select("host", "node", "importance", "variants"), ["host", "node"]).groupBy("host", F.col("top").alias("node")).agg(F.max("importance").alias("below"), F.max("variants").alias("most"))
-    return own.join(branch, ["host", "node"], "left").select("host", "node", "pages", F.greatest("importance", F.coalesce("below", F.lit(0.0))).alias("importance"), F.greatest("variants", F.coalesce("most", F.lit(0.0))).alias("variants"))
+    own = own.withColumn("variants", F.pow("pages", "importance"))
+    over = each.filter("kind = 'parent'").select("host", "node", F.col("feature").alias("over"))
+    return _branches(own.join(over, ["host", "node"], "full_outer").na.fill(0.0, ["importance", "variants"]))
+
+
+def _branches(nodes: DataFrame) -> DataFrame:
+    """host, node, pages, importance, variants, the last two the largest of a node and all below it.
+
+    Each round doubles how far below a node its numbers look, and how far above (over) it hands its own; so there are as
+    many rounds as the logarithm of a site's depth.
+    """
+    nodes = materialize(nodes.select("host", "node", "over", "pages", "importance", "variants"), "style-nodes")
+    while not (hand := nodes.filter("over is not null")).isEmpty():
+        given = hand.groupBy("host", F.col("over").alias("node")).agg(F.max("importance").alias("below"), F.max("variants").alias("most"))
+        further = hand.select("host", F.col("node").alias("over"), F.col("over").alias("next"))
+        nodes = nodes.join(given, ["host", "node"], "left").join(further, ["host", "over"], "left")
+        best = lambda own, more: F.greatest(own, F.coalesce(more, F.lit(0.0))).alias(own)
+        nodes = materialize(nodes.select("host", "node", F.col("next").alias("over"), "pages", best("importance", "below"), best("variants", "most")), "style-nodes")
+    return nodes.drop("over")
 
 
 def main_text(page: str | None, cut: set[int]) -> str:
@@ -242,21 +309,21 @@ def main_text(page: str | None, cut: set[int]) -> str:
 
     An article element and what it stands in are never cut, nor is anything if nothing would be left.
     """
-    found, _ = blocks(page)
-    found = [b for b in found if not b[2]]
+    had = parse(page)
+    found = [b for b in had.blocks if not b[2]]
     if any(b[3] for b in found):
         found = [b for b in found if b[3]]
-    judged: dict[str, bool] = {}
-
-    def kept(node: str, main: bool) -> bool:
-        if node not in judged:
-            steps = node.split("/")
-            # what has no name of its own in an article is the article's text, on however many pages it repeats
-            top = next((k for k, x in enumerate(steps, 1) if x.split(".")[0] in MAIN_TAGS or "main" in x.partition(".")[2]), 1) if main else 1
-            judged[node] = not any(("." in steps[k - 1] or not main) and _short("/".join(steps[:k])) in cut for k in range(top + 1, len(steps) + 1))
-        return judged[node]
-
-    return " ".join(b[1] for b in [b for b in found if not cut or kept(b[0], b[3])] or found)
+    if not cut:
+        return " ".join(b[1] for b in found)
+    # of each node, parents first: is it in an article element, is it kept as one outside, and as one in an article
+    inside, plain, kept = [False], [True], [True]
+    for over, label, name in zip(had.parent[1:], had.label[1:], had.hash[1:], strict=True):
+        low = name in cut
+        inside.append(inside[over] or label.split(".")[0] in MAIN_TAGS or "main" in label.partition(".")[2])
+        plain.append(plain[over] and not low)
+        # what has no name of its own in an article is the article's text, on however many pages it repeats
+        kept.append(kept[over] and not (low and "." in label) if inside[over] or not inside[-1] else True)
+    return " ".join(b[1] for b in [b for b in found if (kept if b[3] else plain)[b[0]]] or found)
 
 
 #: A node below this importance on at least so many pages is cut, unless it has so many variants: a few articles on very many pages.
