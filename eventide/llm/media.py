@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import materialize, tidy
@@ -70,7 +70,7 @@ def describe(samples: np.ndarray) -> str:
     mean = float(share @ levels)
     dev = float(share @ (levels - mean) ** 2) ** 0.5
     seen = share[share > 0]
-    entropy = float(-(seen * np.log2(seen)).sum())
+    entropy = abs(float((seen * np.log2(seen)).sum()))
     edges = np.arange(72) * len(flat) // 72
     grid = (np.add.reduceat(flat.astype(np.int64), edges) / np.diff(np.append(edges, len(flat)))).reshape(8, 9)
     bits = (grid[:, 1:] > grid[:, :-1]).ravel()
@@ -139,6 +139,7 @@ def parse_sequence(html: str | None) -> list[dict]:
     return [{"position": k} | item for k, item in enumerate(p.items)]
 
 
+ITEM_NAMES = ["position", "kind", "text", "digest", "caption"]
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
 _ITEM_ARROW = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 
@@ -156,11 +157,25 @@ def interleave(pages: DataFrame, html_col: str = "html", id_col: str = "doc_id")
     return pages.select(F.col(id_col).alias("id"), html_col).mapInArrow(tidy(run), f"id {dict(pages.dtypes)[id_col]}, items array<{ITEM}>").withColumnRenamed("id", id_col)
 
 
+def refer(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id, text, n_bytes, digest: every row with the reference that store() gives its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [(t or "").encode() for t in b.column(1).to_pylist()]
+            digests = [hashlib.sha256(padded(d)).hexdigest() for d in data]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(d) for d in data], pa.int64()), pa.array(digests, pa.string())], names=["id", "text", "n_bytes", "digest"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, text string, n_bytes long, digest string").withColumnRenamed("id", id_col)
+
+
 def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Write each text's payload as a picture into the shared folder; the references to it and the stored media.
 
     references: id, n_bytes, digest (of the payload). media: digest, media (the stored bytes); a digest may come from
-    several batches, always with the same bytes. A null text is an empty one, of one row of padding.
+    several batches, always with the same bytes. A null text is an empty one, of one row of padding. Repeated and null
+    ids give a row each; other columns are left out; an empty table gives two empty ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,28 +195,49 @@ def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tu
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """One row for each digest: what the stored bytes hold, read again from storage, and their features."""
+    """One row for each digest: what the stored bytes hold, read again from storage, and their features.
+
+    Bytes that are damaged or not of this store give a row with null columns but media_bytes and media_sha256; null
+    bytes give none. The rows are small and written, so that references to one digest can be joined in any number of tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for digest, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                samples = from_png(stored)
-                payload = samples.tobytes()
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(samples)))
+                if stored is None:
+                    continue
+                try:
+                    samples = from_png(stored)
+                    payload = samples.tobytes()
+                    held = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])), describe(samples)
+                except (ValueError, struct.error, zlib.error, TypeError, IndexError):
+                    held = (None, None, None), None
+                rows.append((digest, *held[0], len(stored), hashlib.sha256(stored).hexdigest(), held[1]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
 
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     spec = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(tidy(run), spec).dropDuplicates(["digest"])
+    return materialize(media.mapInArrow(tidy(run), spec).dropDuplicates(["digest"]), "media-read")
+
+
+def document_page(text: Column, digest: Column, caption: Column) -> Column:
+    """A text as a page that shows its picture at the end of the first line, between the text before and after it."""
+    said = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = F.substring_index(said, "\n", 1)
+    picture = F.concat(F.lit(f'<figure><img src="{REFERENCE}'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), picture, F.lit("<p>"), F.substr(said, F.length(first) + 1, F.length(said)), F.lit("</p></article>"))
 
 
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each item of each sequence, media items with the columns of ``media`` for their digest.
 
     Items keep position and caption; a reference whose digest is unknown, null or not of this store stays with null
-    media columns; text items are never joined. A digest with very many references is one small row on the other side.
+    media columns; text items are never joined. A digest with very many references is one small row on the other side,
+    and Spark may deal its references to several tasks. An empty sequence gives a row of nulls. The id may have any name.
     """
-    items = sequences.select(id_col, F.explode_outer("items").alias("item")).select(id_col, "item.*")
-    return items.join(media, "digest", "left")
+    items = sequences.select(F.col(id_col).alias("_of"), F.explode_outer("items").alias("item")).select("_of", "item.*")
+    items = items.withColumnsRenamed({c: f"_{c}" for c in ITEM_NAMES})
+    both = items.join(media, items["_digest"] == media["digest"], "left").drop("digest")
+    return both.select(F.col("_of").alias(id_col), *(F.col(f"_{c}").alias(c) for c in ITEM_NAMES if c != id_col), *(c for c in media.columns if c not in (id_col, *ITEM_NAMES)))

@@ -14,12 +14,15 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text becomes a stored picture and a page that refers to it by digest; pages are parsed and references resolved."""
+    """Every text becomes a stored picture and a page that shows it within the text, referring to it by digest; pages are parsed and references resolved.
+
+    position is the picture's place among the page's items: 1 where the text's first line says something, else 0.
+    """
     docs = table(spark, sf_dir, "documents")
-    references, stored = media.store(docs)
-    pages = references.withColumn("html", F.concat(F.lit('<p>Document</p><figure><img src="media:'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>")))
+    _, stored = media.store(docs)
+    pages = media.refer(docs).select("doc_id", media.document_page(F.coalesce("text", F.lit("")), F.col("digest"), F.concat(F.col("n_bytes").cast("string"), F.lit(" bytes"))).alias("html"))
     items = media.resolve(media.interleave(pages), media.read_back(stored)).filter("kind = 'media'")
-    return items.select("doc_id", F.regexp_extract("caption", "^[0-9]+", 0).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return items.select("doc_id", F.regexp_extract("caption", "^[0-9]+", 0).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("position").cast("long").alias("position"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
