@@ -25,8 +25,8 @@ SPACES = np.frombuffer(bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256)
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each document's features, documents end to end, and where each begins.
 
-    A feature is a word, a run of 3, 4 or 5 bytes (white space as one sort of byte), or a word that repeats the one
-    before, which is the same bucket for all words. Every document has all of its own, and one that is always there.
+    A feature is a word, or a run of 3, 4 or 5 bytes (white space as one sort of byte). Every document has all of its
+    own, and one that is always there.
     """
     n, rows = len(data), len(offsets) - 1
     buckets, docs = [np.zeros(rows, np.int32)], [np.arange(rows)]
@@ -46,8 +46,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         words, starts, _, first = word_hashes(data, offsets, False)
         at = np.repeat(np.arange(rows), np.diff(first))
         buckets.append((mixed(words) >> shift).astype(np.int32)), docs.append(at)
-        again = np.flatnonzero((words[1:] == words[:-1]) & (at[1:] == at[:-1])) + 1
-        buckets.append(np.ones(len(again), np.int32)), docs.append(at[again])
     size = sum(np.bincount(d, minlength=rows) for d in docs)
     order = np.argsort(np.concatenate(docs), kind="stable")
     return np.concatenate(buckets)[order], np.concatenate([[0], np.cumsum(size)])
