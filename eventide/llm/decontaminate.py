@@ -8,12 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from eventide.llm.common import materialize, shingles, slices, tidy, utf8, word_hashes
 
 HASHES = 32
 #: Items of a partition have between the largest size / RATIO and the largest size.
 RATIO = 1.5
+#: Items of so few shingles are looked up by each of them: a window of theirs would be shorter than the steps that windows are cut in.
+FEW = 8
 #: Shingles in the finest block whose minima are kept.
 FINE = 4
 #: Test items are broadcast in portions of at most so many characters; each portion is one pass over the documents.
@@ -38,9 +42,14 @@ class Index:
 
     def __init__(self, ids: list, sets: list[np.ndarray]):
         self.ids, self.sets = ids, sets
-        sizes = np.array([len(s) for s in sets])
+        sizes = np.array([len(s) for s in sets], np.int64)
         self.parts: list[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
+        few = np.flatnonzero(sizes <= FEW)
+        keys = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in few)])
+        order = np.argsort(keys, kind="stable")
+        self.few_keys, self.few_items = keys[order], np.repeat(few, sizes[few])[order]
         left = np.argsort(-sizes, kind="stable")
+        left = left[sizes[left] > FEW]
         while len(left):
             top = int(sizes[left[0]])
             own = left[sizes[left] * RATIO >= top]
@@ -55,7 +64,7 @@ class Index:
             self.parts.append((top, by_hash))
 
     def candidates(self, grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, item) that have a minimum in common: an item's, and that of a window of the row.
+        """Pairs (row, item) that have a minimum in common: an item's, and that of a window of the row; of the shortest items any shingle.
 
         Windows are cut for each partition so that every run of as many shingles as its largest item lies in one.
         """
@@ -90,6 +99,11 @@ class Index:
                     times = b - a
                     place = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
                     rows.append(np.repeat(doc[heads[hit]], times)), items.append(which[place])
+        if len(self.few_keys):
+            a, b = np.searchsorted(self.few_keys, grams, "left"), np.searchsorted(self.few_keys, grams, "right")
+            times = b - a
+            place = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            rows.append(np.repeat(np.repeat(np.arange(len(count)), count), times)), items.append(self.few_items[place])
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)], 1), axis=0)
@@ -113,15 +127,17 @@ def contained(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 8
     words, the whole sequence; texts without words have none and match nothing. Items of like sizes form a partition,
     for which each row is cut into overlapping windows of that size, so that short items stand out in long rows: an
     item is a candidate if one of 32 minima of its shingles is also a window's. Each candidate's containment is
-    then counted on all shingles. An item with the containment asked for is missed with a chance of 5 in a million at most.
-    Items are broadcast in portions of bounded size, each a pass without a shuffle. Repeated rows give their own
+    then counted on all shingles. Items of up to FEW shingles are candidates by any of their shingles, so none is missed;
+    of the others, the tests and the README say how many are. Items are broadcast in portions of bounded size, one after
+    the other, each a pass without a shuffle. Repeated rows give their own
     pairs, repeated items count once; null texts match nothing; null ids are kept; empty tables give an empty one.
     """
     spark = docs.sparkSession
     usable = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).dropna(subset=["text"]).distinct()
     length = usable.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     portions = length // PORTION + 1
-    kinds = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id]
+    spec = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("item", items.schema[item_id].dataType), T.StructField("shared", T.LongType()), T.StructField("item_shingles", T.LongType())])
+    kind = to_arrow_type(spec["item"].dataType)
     out = None
     for p in range(portions):
         part = usable if portions == 1 else usable.filter(F.pmod(F.xxhash64("id", "text"), F.lit(portions)) == p)
@@ -138,16 +154,16 @@ def contained(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 8
                         n = int(np.isin(want, grams[first[d] : first[d + 1]]).sum())
                         if 100 * n >= percent * len(want):
                             rows.append(a + d), found[0].append(index.ids[i]), found[1].append(n), found[2].append(len(want))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found[0], ITEM_KIND[kinds[1]]), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["doc", "item", "shared", "item_shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found[0], kind), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["doc", "item", "shared", "item_shingles"])
 
-        one = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc {kinds[0]}, item {kinds[1]}, shared long, item_shingles long")
+        one = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), spec)
+        if portions > 1:
+            one = materialize(one, "contained")
+            shared.unpersist()
         out = one if out is None else out.union(one)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
-ITEM_KIND = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """The rows, with all columns, that hold no item. A row with a null id stays."""
     bad = materialize(contained(docs, items, text_col=text_col, id_col=id_col, **how).select(F.col(id_col).alias("_bad")).dropna().distinct(), "contaminated")
