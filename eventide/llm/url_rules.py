@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.llm.common import materialize
+
 #: Rules are broadcast in portions of at most this many bytes; each further portion is a further sweep, without a shuffle.
 PORTION_BYTES = 8_000_000
 
@@ -89,7 +91,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
     usable = rules.select("host", "path", "verdict").dropna().filter("host <> ''").withColumn("host", F.lower("host")).distinct()
     size = usable.agg(F.sum(F.length("host") + F.length("path") + 8).alias("n")).first()["n"] or 0
     portions = size // PORTION_BYTES + 1
-    out = pages.select(F.col(id_col), host_of(url_col).alias("host"), path_of(url_col).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    out = pages.select(F.col(id_col).alias("id"), host_of(url_col).alias("host"), path_of(url_col).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     for k in range(portions):
         part = usable if portions == 1 else usable.filter(F.pmod(F.xxhash64("host"), F.lit(portions)) == k)
         shared = pages.sparkSession.sparkContext.broadcast([(r["host"], r["path"], r["verdict"]) for r in part.collect()])
@@ -103,5 +105,8 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
                         rule[i], verdict[i] = best[0], best[2]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
 
-        out = out.mapInArrow(run, out.schema.simpleString()[7:-1].replace(":", " ").replace(f"{id_col} ", "id ", 1)).withColumnRenamed("id", id_col)
-    return out
+        out = out.mapInArrow(run, out.schema)
+        if portions > 1:  # one portion's rules at a time
+            out = materialize(out, "url-rules")
+            shared.unpersist()
+    return out.withColumnRenamed("id", id_col)
