@@ -32,6 +32,26 @@ def test_jaccard_in_chunks(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_jaccard_large_clusters(spark, monkeypatch):
+    """Clusters of many chunks with links of all kinds: one group of near copies, chains, and sets that nearly link."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 5)
+    words = [f"u{k}" for k in range(300)]
+    rows = [(n, " ".join(f"v{n}_{k}" if k == 7 * n % 300 else w for k, w in enumerate(words))) for n in range(60)]
+    rows += [(100 + n, " ".join(words[n * 3 : 260 + n * 3])) for n in range(14)]
+    rows += [(200 + n, " ".join(f"y{n}_{k}" if k % 30 == 11 else w for k, w in enumerate(words))) for n in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 3, 90).collect()}
+    assert got == brute.jaccard_components(rows, 3, 90)
+
+
+def test_jaccard_of_two_thousand_near_copies(spark):
+    words = [f"u{k}" for k in range(120)]
+    rows = [(n, " ".join([*words[: n % 120], f"v{n}", *words[n % 120 + 1 :]])) for n in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert {r["component_id"] for r in ngram_join.jaccard_join(df, 3, 90).collect()} == {0}
+    edges = ngram_join._signatures(df, 3, 90).filter("to is not null").count()
+    assert edges < 2000
+
+
 def test_jaccard_odd_rows(twice, no_docs):
     rows = ngram_join.jaccard_join(twice).collect()
     assert len(rows) == 7 and {r["component_id"] for r in rows if r["doc_id"] is None} == {None}
@@ -59,6 +79,25 @@ def test_containment(spark, docs, texts, twice, no_docs):
     assert {r["doc_id"] for r in decontaminate.decontaminate(twice, items).collect()} == {2, 3, None}
 
 
+def test_containment_of_short_and_scattered_items(spark):
+    """Short items are all found; of longer ones whose shingles are scattered over long rows at the limit, nearly all."""
+    import random
+
+    rng = random.Random(8)
+    items, rows = [], []
+    for k in range(240):
+        n = rng.choice([5, 6, 7, 9, 15, 30, 60])
+        words = [f"i{k}_{j}" for j in range(n)]
+        items.append((k, " ".join(words)))
+        other = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([50, 3000]))]
+        place = rng.randrange(len(other))
+        rows.append((k, " ".join([*other[:place], *words, *other[place:]])))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k) for k in range(240)}
+    odd = decontaminate.contained(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([((k,), t) for k, t in items[:3]], "item_id struct<n: long>, text string"))
+    assert odd.count() == 3
+
+
 def test_containment_in_portions(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(decontaminate, "PORTION", 2000)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -20,7 +20,9 @@ def test_media_payloads(spark, docs, texts, tmp_path):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(padded))
         assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-32:])
-        assert r["media_bytes"] >= 1 and len(r["media_sha256"]) == 64 and r["feature"]
+        stored = media.to_png(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == brute.picture_feature(padded) and r["position"] == (1 if (t or "").split("\n")[0].split() else 0)
     same = {}
     for i, t in texts.items():
         r = rows[i]
@@ -165,6 +167,45 @@ def test_articles_on_copied_pages_stay(spark, monkeypatch):
         assert {said[1000 + k] for k in range(20)} == {"Own text x"}
 
 
+def test_pages_of_any_shape():
+    """Unquoted values, quotes and comments that nothing closes, and deep nests, in time that grows with the page."""
+    said = lambda h: html_text.main_text(h, {1})
+    assert said("<p title=it's>Hello</p>") == said("<p title='it\"s' class=x/>Hello</p>") == said("<P TITLE = a>Hello<!-- <p>no</p> --></P>") == "Hello"
+    assert said('<p title="x>Hello</p> world') == "Hello world" and said("a < b <3 <b>c</b> <") == "a < b <3 c <"
+    assert said("<p>Hello</p><!-- no") == said("<p>Hello</p><a href=") == said("<p>Hello</p></") == "Hello" or said("<p>Hello</p></") == "Hello </"
+    n = 20_000
+    assert said("<div>" * n + "deep" + "</div>" * n + "after") == "deep after"
+    assert said("<div class='ad-x'>" * n + "deep" + "</div>" * n + "after") == "after"
+    assert said("<p>" + "<blockquote>" * n + "deep" + "</x>" * n) == "deep" and said("<ul><li>" * n + "deep") == "deep"
+    assert said("Hello" + '<a href="x ' * 5 * n) == said("Hello" + "<a x='>' " * 5 * n) == said("Hello<script>" * 1) == "Hello"
+    assert said("<" * n) == "<" * n
+
+
+def test_style_tree(spark):
+    """Every node's importance and pages, as a plain version has them; deep branches hand theirs up."""
+    page = lambda k: f"<html><body><div class='a'><p>Ring us</p></div><div class='b'><div><div><div><p>Text {k % 3}</p></div></div></div></div>" + ("<div class='c'><p>Extra</p></div>" if k % 2 else "") + f"<p>{k}</p></body></html>"
+    rows = [(f"http://h{k % 2}.example/{k}", page(k)) for k in range(14)] + [("http://h0.example/again", page(0)), ("http://one.example/", page(5))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r["host"], r["node"]): (r["pages"], round(r["importance"], 6)) for r in html_text.style_tree(df).collect() if r["node"]}
+    want = brute.style_tree([(u.split("/")[2], h) for u, h in rows], html_text._short)
+    assert got == want and len(want) > 20
+
+
+def test_quality_features_and_training():
+    """Scores and training equal versions that take one feature and one document at a time."""
+    import numpy as np
+
+    texts = [t.encode() for t in ("a good text about the sea", "bad bad bad", "", " \t", "Good 日本 text", "x", "the sea the sea the sea and more of it")]
+    labels = np.array([1, 0, 0, 0, 1, 0, 1])
+    model = quality.Model().fit(texts, labels)
+    assert np.allclose(model.folded(), brute.fitted(texts, labels, quality), atol=1e-4)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    folded = model.folded()
+    want = [1 / (1 + np.exp(-(np.mean([float(folded[f]) for f in brute.quality_features(t, quality.BITS)]) + float(folded[-1])))) for t in texts]
+    assert np.allclose(quality.scores(folded, data, offsets), want, atol=1e-6)
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.net/en/x?y", "HTTP://EXAMPLE.NET/en", "http://example.net/en/", "http://notexample.net/", "http://net/", "http://x.org/fr/1#f", "http://x.org/de", "http://example.com/de/a", "http://sub.example.com/de/", "http://example.com/fr/", "no url", "", None, "http://", "http:///p", "http://a.example.net?q=/en/", "ftp://u:p@h.net:80/", "http://é.net/", "x://y://z.net/en", "http://net./x"]
     rows = list(enumerate(urls)) + [(0, urls[0])]
@@ -200,4 +241,12 @@ def test_media_documents(spark):
     pages = spark.createDataFrame([(7, html), (8, None), (9, "")], "doc_id long, html string")
     rows = sorted((r for r in media.resolve(media.interleave(pages), media.read_back(stored)).collect() if r["doc_id"] == 7), key=lambda r: r["position"])
     assert [r["kind"] for r in rows] == ["text", "media", "text", "media", "text"]
+    clash = spark.createDataFrame([(html,), (None,)], "html string").withColumn("text", F.lit("its id"))
+    named = media.resolve(media.interleave(clash, id_col="text"), media.read_back(stored), id_col="text")
+    assert named.filter("kind = 'media'").count() == 2 and named.columns.count("text") == 1
+    broken = spark.createDataFrame([("a", b"no picture"), ("b", None), ("c", media.SIGNATURE)], "digest string, media binary")
+    assert {(r["digest"], r["payload_bytes"], r["media_bytes"]) for r in media.read_back(broken).collect()} == {("a", None, 10), ("c", None, 8)}
+    real = spark.read.parquet(f"{SF}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")
+    for r in media.interleave(real).limit(20).collect():
+        assert [x["position"] for x in r["items"]] == list(range(len(r["items"]))) and any(x["kind"] == "text" for x in r["items"])
     assert rows[1]["caption"] == "A caption" and rows[1]["payload_sha256"] == hashlib.sha256(b"picture one" + b"\xff" * 565).hexdigest() and rows[3]["payload_sha256"] is None
