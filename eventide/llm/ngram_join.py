@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.llm.common import materialize, mixed, shingles, slices, tidy, utf8, word_hashes
-from eventide.llm.components import components
+from eventide.llm.components import components, roots
 
 AT_ONCE = 1_000_000
 #: The numbers of fragments in use grow by this ratio.
@@ -98,18 +98,6 @@ def fragments(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest that it reaches over edges a - b."""
-    root = np.arange(n)
-    while (root[a] != root[b]).any():
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """sig, name: each signature of a batch's sets, with the smallest set that a set with it reaches within the batch;
     and, without a signature, every other set with that one (to). So a batch sends one edge for each of its sets at most."""
@@ -130,7 +118,7 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             by = np.argsort(sig, kind="stable")
             sig, at = sig[by], at[by]
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            root = _roots(len(known), at, np.repeat(at[first], np.diff(np.append(first, len(sig)))))
+            root = roots(len(known), at, np.repeat(at[first], np.diff(np.append(first, len(sig)))))
             yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(known[root[at[first]]]), pa.nulls(len(first), pa.int64())], names=["sig", "name", "to"])
             rest = np.flatnonzero(root != np.arange(len(known)))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.array(known[rest]), pa.array(known[root[rest]])], names=["sig", "name", "to"])
@@ -173,7 +161,7 @@ def _linked(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent
     a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
     apart = (side[a] & 1) & (side[b] >> 1) | (side[b] & 1) & (side[a] >> 1)
     a, b = a[apart == 1], b[apart == 1]
-    label = _roots(len(sets), a, b)
+    label = roots(len(sets), a, b)
     own = np.flatnonzero(label != np.arange(len(sets)))
     return names[own], names[label[own]]
 
@@ -246,8 +234,8 @@ def _compared(docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataF
     return parts.mapInArrow(tidy(compare), "a long, b long")
 
 
-def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: pairs that hold the links' components together.
+def _labels(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """name, group: of each set in a cluster the name of its component of links.
 
     A cluster is cut into chunks, of which each is compared within. Where a cluster has several, some sets of each
     component found so far are compared next, which joins the components of copies. Last, what is not in a cluster's
@@ -255,29 +243,34 @@ def _links(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, pe
     has been counted, and a group of copies costs in proportion to its size.
     """
     own = materialize(clusters.withColumnRenamed("node", "name").join(where, "name").select("id", "name", "label", "n"), "ngram-clusters")
-    chunks = materialize(_chunks(own), "ngram-chunks")
+    own = own.join(_chunks(own), "label")
     spread = lambda n, salt=0: F.pmod(F.xxhash64("name", F.lit(salt)), F.col(n)).cast("int")
     alone = [F.lit(-1).alias("hi"), F.lit(0).alias("los"), F.lit(0).alias("his")]
-    links = materialize(_compared(docs, own.join(chunks, "label").select("id", "name", "label", spread("chunks").alias("lo"), *alone), size, percent), "ngram-links")
-    wide = chunks.filter("chunks > 1")
-    if wide.isEmpty():
-        return links
-    own = own.join(wide.withColumnRenamed("chunks", "los"), "label")
-
-    def grouped(found: DataFrame) -> DataFrame:
-        held = components(found.join(own.select(F.col("name").alias("a")), "a", "left_semi")).select(F.col("node").alias("name"), F.col("label").alias("group"))
-        return materialize(own.join(held, "name", "left").withColumn("group", F.coalesce("group", "name")), "ngram-groups")
-
-    some = grouped(links).withColumn("place", F.row_number().over(Window.partitionBy("label", "group").orderBy(F.xxhash64("name"), "name"))).filter(F.col("place") <= HEADS)
-    some = materialize(some, "ngram-heads")
-    heads = some.join(_chunks(some), "label").select("id", "name", "label", spread("chunks", 1).alias("lo"), *alone)
-    links = links.union(materialize(_compared(docs, heads, size, percent), "ngram-links"))
-    groups = grouped(links)
+    # a set is in one unit only, so its link to the first of its component there is its group so far
+    found = _compared(docs, own.select("id", "name", "label", spread("chunks").alias("lo"), *alone), size, percent)
+    groups = materialize(own.join(found.select(F.col("a").alias("name"), F.col("b").alias("group")), "name", "left").withColumn("group", F.coalesce("group", "name")), "ngram-groups")
+    done = groups.filter("chunks = 1").select("name", "group")
+    groups = groups.filter("chunks > 1").withColumnRenamed("chunks", "los")
+    if groups.isEmpty():
+        return done
+
+    def merged(links: DataFrame) -> DataFrame:
+        """The groups, those that links (a, b) join under one name."""
+        of = lambda c: groups.select(F.col("name").alias(c), F.col("group").alias(f"of_{c}"))
+        pairs = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        named = components(pairs).select(F.col("node").alias("group"), F.col("label").alias("further"))
+        return materialize(groups.join(named, "group", "left").withColumn("group", F.coalesce("further", "group")).drop("further"), "ngram-groups")
+
+    place = F.row_number().over(Window.partitionBy("label", "group").orderBy(F.xxhash64("name"), "name"))
+    some = materialize(groups.withColumn("place", place).filter(F.col("place") <= HEADS), "ngram-heads")
+    groups = merged(_compared(docs, some.join(_chunks(some), "label").select("id", "name", "label", spread("chunks", 1).alias("lo"), *alone), size, percent))
     largest = groups.groupBy("label", "group").agg(F.count(F.lit(1)).alias("sets")).groupBy("label").agg(F.max_by("group", F.struct("sets", "group")).alias("largest"))
-    groups = groups.join(largest, "label").withColumn("rest", F.col("group") != F.col("largest"))
-    rest = _chunks(groups.filter("rest")).withColumnRenamed("chunks", "his")
-    last = materialize(groups.join(rest, "label").select("id", "name", "label", spread("los").alias("lo"), F.when(F.col("rest"), spread("his")).otherwise(-1).alias("hi"), "los", "his"), "ngram-rest")
-    return links if last.isEmpty() else links.union(materialize(_compared(docs, last, size, percent), "ngram-links"))
+    judged = groups.join(largest, "label").withColumn("rest", F.col("group") != F.col("largest"))
+    rest = _chunks(judged.filter("rest")).withColumnRenamed("chunks", "his")
+    last = materialize(judged.join(rest, "label").select("id", "name", "label", spread("los").alias("lo"), F.when(F.col("rest"), spread("his")).otherwise(-1).alias("hi"), "los", "his"), "ngram-rest")
+    if not last.isEmpty():
+        groups = merged(_compared(docs, last, size, percent))
+    return done.union(groups.select("name", "group"))
 
 
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -295,9 +288,9 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: st
     known = docs.filter("id is not null")
     where = rows.filter("id is not null AND n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     clusters = _clusters(known, size, percent)
-    labels = components(_links(known, where, clusters, size, percent))
+    labels = _labels(known, where, clusters, size, percent)
     # a component's name becomes its smallest id; rows of one id are one document
-    best = where.join(labels, where.name == labels.node, "left").select("name", "id", F.coalesce("label", "name").alias("label"))
+    best = where.join(labels, "name", "left").select("name", "id", F.coalesce("group", "name").alias("label"))
     lowest = best.groupBy("label").agg(F.min("id").alias("component_id"))
     best = best.join(lowest, "label").select("name", "component_id")
     done = rows.join(best, "name", "left")

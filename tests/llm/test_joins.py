@@ -59,7 +59,9 @@ def test_jaccard_odd_rows(twice, no_docs):
     assert ngram_join.jaccard_join(no_docs).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [components.LAST_EDGES, 0])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST_EDGES", last)
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 5), (200, 103), (103, 102)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100, 200: 102, 103: 102, 102: 102}
