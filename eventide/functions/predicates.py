@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,16 @@ def day(as_of: str) -> Column:
     return F.lit(as_of).cast("date")
 
 
+def preset_days(preset: str, as_of: str) -> tuple[str, str] | None:
+    """First and last day of this-month, next-3-months or this-year, from today on; None for other names."""
+    today = datetime.date.fromisoformat(as_of)
+    months = {"this-month": today.month, "next-3-months": today.month + 2, "this-year": 12}.get(preset)
+    if months is None:
+        return None
+    after = datetime.date(today.year + months // 12, months % 12 + 1, 1)
+    return as_of, str(after - datetime.timedelta(1))
+
+
 def country_guess() -> Column:
     region, city = F.col("region"), F.col("city")
     return F.when(F.col("event_format") == "online", "unknown").when(region.rlike(UK_REGION) | city.rlike(UK_CITY), "uk").when(region.isNull() & city.isNull(), "unknown").otherwise("international")

@@ -38,3 +38,10 @@ def due_reminders(reminders: DataFrame, conferences: DataFrame, as_of: str) -> D
 def to_purge(sent: DataFrame, as_of: str, column: str, months: int = 12) -> DataFrame:
     """Rows older than some calendar months."""
     return sent.filter(F.col(column) < F.add_months(day(as_of), -months))
+
+
+def new_reminders(wishes: DataFrame, conferences: DataFrame, existing: DataFrame, as_of: str) -> DataFrame:
+    """user_id, conference_id, scheduled_for: each wish (lead in days) some days before its event starts, unless that day is past or the same is scheduled already."""
+    starts = conferences.filter("start_date IS NOT NULL").select(F.col("id").alias("conference_id"), "start_date")
+    rows = wishes.join(starts, "conference_id").select("user_id", "conference_id", F.date_sub("start_date", F.col("lead")).alias("scheduled_for")).distinct()
+    return rows.filter(F.col("scheduled_for") >= day(as_of)).join(existing, ["user_id", "conference_id", "scheduled_for"], "left_anti").select("user_id", "conference_id", "scheduled_for")

@@ -34,6 +34,22 @@ def deadlines(events: DataFrame, as_of: str, days: int = 60) -> DataFrame:
     return events.filter(F.col("abstract_deadline").between(now, F.date_add(now, days))).groupBy("abstract_deadline").agg(F.count(F.lit(1)).alias("events"), F.min("id").alias("first_id"))
 
 
+def upcoming(events: DataFrame, as_of: str, days: int = 60) -> DataFrame:
+    """id, abstract_deadline: deadlines within some days, in order."""
+    return events.filter(F.col("abstract_deadline").between(day(as_of), F.date_add(day(as_of), days))).select("id", "abstract_deadline").orderBy("abstract_deadline", "id")
+
+
+def in_month(events: DataFrame, year: int, month: int) -> DataFrame:
+    """id, first, last: events on any day of a month."""
+    head = F.make_date(F.lit(year), F.lit(month), F.lit(1))
+    return spans(events).filter((F.col("first") <= F.last_day(head)) & (F.col("last") >= head)).select("id", "first", "last")
+
+
+def overflow(placed: DataFrame) -> DataFrame:
+    """week, shown, hidden: of lanes() how many pieces of each week found a lane, and how many did not."""
+    return placed.groupBy("week").agg(F.count("lane").alias("shown"), F.count_if(F.col("lane").isNull()).alias("hidden"))
+
+
 def week_pieces(events: DataFrame) -> DataFrame:
     """A row for each week that an event touches, clipped to it: week (its Monday), from and to columns, length of the event."""
     s = spans(events)

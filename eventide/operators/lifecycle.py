@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.predicates import day, listing_hash
+from eventide.functions.predicates import day, degree_title, listing_hash
 
 
 def with_hash(listing: DataFrame) -> DataFrame:
@@ -62,8 +62,9 @@ def expired(conferences: DataFrame, as_of: str) -> DataFrame:
     return conferences.filter(~F.col("archived")).withColumn("reason", reason).filter("reason IS NOT NULL").select("id", "reason")
 
 
-def stale(conferences: DataFrame, healthy: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+def stale(conferences: DataFrame, runs: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     """Live events not seen for some days whose source had a good run in that time. A source that fails archives nothing."""
+    healthy = runs.filter((F.col("status") == "success") & (F.col("run_on") >= F.date_sub(day(as_of), days)))
     old = conferences.filter(~F.col("archived") & (F.col("last_seen_on") < F.date_sub(day(as_of), days)))
     return old.join(healthy.select("source_id").distinct(), "source_id", "left_semi").select("id", "source_id", "last_seen_on")
 
@@ -83,3 +84,13 @@ def blocked_streaks(logs: DataFrame, until: str, last: int = 3, days: int = 7) -
     runs = recent_statuses(logs, last).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "blocked").alias("blocked"))
     good = logs.filter((F.col("status") == "success") & (F.col("run_started_at").cast("date") >= F.date_sub(day(until), days))).select("source_id").distinct()
     return runs.filter((F.col("n") == last) & (F.col("blocked") == last)).join(good, "source_id", "left_anti").select("source_id", "blocked")
+
+
+def last_success(logs: DataFrame) -> DataFrame:
+    """source_id, last_success: when each source last had a good run."""
+    return logs.filter(F.col("status") == "success").groupBy("source_id").agg(F.max("run_started_at").alias("last_success"))
+
+
+def degree_backfill(conferences: DataFrame) -> DataFrame:
+    """id, previous, event_type: events whose titles are degrees but whose type is another, with that type."""
+    return conferences.filter((F.col("event_type") != "degree") & degree_title("name")).select("id", F.col("event_type").alias("previous"), F.lit("degree").alias("event_type"))

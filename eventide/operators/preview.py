@@ -69,3 +69,18 @@ def next_session(sessions: DataFrame, as_of: str) -> DataFrame:
     return rows.groupBy("course_id").agg(pick.alias("s"), F.count(F.lit(1)).alias("upcoming"), F.count_if(~F.col("sold_out")).alias("available")).select(
         "course_id", F.col("s.id").alias("session_id"), F.col("s.start_date").alias("start_date"), "upcoming", "available", (F.col("available") == 0).alias("all_sold_out")
     )
+
+
+def majority(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, column, n: the most frequent value of each key; of equally frequent ones the one whose first id is lowest."""
+    counts = rows.groupBy(key, column).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("less"), "first_id", column)).alias("best")).select(key, F.col(f"best.{column}").alias(column), (-F.col("best.less")).alias("n"))
+
+
+def feeds(events: DataFrame, saved: DataFrame, specialties: list[str], as_of: str, most: int = 5) -> DataFrame:
+    """feed, id, day: a user's next deadlines, what is new, and what they saved that is on within 30 days."""
+    now = day(as_of)
+    due = events.filter(F.col("specialty").isin(*specialties) & F.col("abstract_deadline").between(now, F.date_add(now, 30))).orderBy("abstract_deadline", "id").limit(most).select(F.lit("deadlines").alias("feed"), "id", F.col("abstract_deadline").alias("day"))
+    new = events.filter(F.col("created_on").between(F.date_sub(now, 7), now)).orderBy(F.desc("created_on"), "id").limit(most).select(F.lit("new"), "id", "created_on")
+    soon = events.join(saved, "id", "left_semi").filter((F.col("start_date") <= F.date_add(now, 30)) & (F.coalesce("end_date", "start_date") >= now)).select(F.lit("saved"), "id", "start_date")
+    return due.union(new).union(soon)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.predicates import page_base
+from eventide.functions.predicates import day, page_base
 
 
 def pricing_kind(tiers: DataFrame) -> DataFrame:
@@ -59,6 +59,24 @@ def drops(baseline: DataFrame, current: DataFrame, points: float = 10.0, least:
     return both.withColumn("drop", F.round(F.col("was") - F.col("now"), 1)).filter(F.col("drop") >= points)
 
 
+def confirmed(today: DataFrame, before: DataFrame, events: DataFrame, least: int = 25) -> DataFrame:
+    """source_id, metric, drop, red: today's drops; red where the report before had them too and the source has some events, else advice."""
+    both = today.join(before.select("source_id", "metric", F.lit(True).alias("again")), ["source_id", "metric"], "left").join(events, "source_id", "left")
+    return both.select("source_id", "metric", "drop", (F.coalesce("again", F.lit(False)) & (F.coalesce("events", F.lit(0)) >= least)).alias("red"))
+
+
+def uncovered(sources: DataFrame, runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """source_id: sources new within some days whose last run failed, or that never ran."""
+    recent = sources.filter(F.col("created_on") >= F.date_sub(day(as_of), days)).select(F.col("id").alias("source_id"))
+    last = runs.groupBy("source_id").agg(F.max_by("status", F.struct("run_on", "id")).alias("status")).filter(F.col("status") != "failed")
+    return recent.join(last, "source_id", "left_anti")
+
+
+def without_provenance(records: DataFrame, since: str) -> DataFrame:
+    """n: records since a day that do not say where they come from."""
+    return records.filter((F.col("created_on") >= day(since)) & F.col("identity").isNull()).agg(F.count(F.lit(1)).alias("n"))
+
+
 def shared_pages(conferences: DataFrame, least: int = 2) -> DataFrame:
     """Pages, without fragments, that some events or more are on."""
     return conferences.filter(~F.col("archived")).groupBy(page_base("source_url").alias("page")).agg(F.count(F.lit(1)).alias("events"), F.min("id").alias("first_id")).filter(F.col("events") >= least)

@@ -38,6 +38,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.directory_events(A.conferences(spark, sf_dir), A.sources(spark, sf_dir), A.pricing_tiers(spark, sf_dir))
 
 
+def _page(spark: SparkSession, sf_dir: str, f: directory.Filters) -> DataFrame:
+    return directory.page(A.conferences(spark, sf_dir), A.sources(spark, sf_dir), A.pricing_tiers(spark, sf_dir), f)
+
+
 SHOWN = ["id", "name", "start_date", "end_date", "event_type", "event_format", "society", "price_from", "price_currency", "total", "place"]
 SHOWN_SQL = ", ".join(SHOWN)
 BASIC = directory.Filters(formats=("in_person", "online"), types=("conference", "workshop"), regions=("EUROPE", "ASIA"), date_from=AS_OF, date_to="1999-12-31", page=2, page_size=25)
@@ -48,25 +52,25 @@ BASIC_SQL = f"event_format IN ('in_person', 'online') AND event_type IN ('confer
 ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY bucket, CASE WHEN bucket = 0 THEN start_date ELSE end_date END NULLS LAST, id) AS place FROM hits WHERE bucket IS NOT NULL)
 SELECT {SHOWN_SQL} FROM ranked WHERE place BETWEEN 26 AND 50""")
 def directory_page_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.page(_events(spark, sf_dir), BASIC).select(*SHOWN)
+    return _page(spark, sf_dir, BASIC).select(*SHOWN)
 
 
 @query(f""", ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY created_on DESC, id) AS place FROM directory WHERE cpd_accredited)
 SELECT {SHOWN_SQL} FROM ranked WHERE place <= 30""")
 def directory_page_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.page(_events(spark, sf_dir), directory.Filters(cpd=True, sort="newest")).select(*SHOWN)
+    return _page(spark, sf_dir, directory.Filters(cpd=True, sort="newest")).select(*SHOWN)
 
 
 @query(f""", ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY price_from NULLS LAST, id) AS place FROM directory WHERE price_from < 300 AND country_guess = 'international')
 SELECT {SHOWN_SQL} FROM ranked WHERE place <= 30""")
 def directory_page_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.page(_events(spark, sf_dir), directory.Filters(price="under-300", country="international", sort="price")).select(*SHOWN)
+    return _page(spark, sf_dir, directory.Filters(price="under-300", country="international", sort="price")).select(*SHOWN)
 
 
 @query(f""", ranked AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY created_on DESC, id) AS place FROM directory WHERE name ILIKE '%mach%' OR specialty ILIKE '%mach%' OR city ILIKE '%mach%')
 SELECT {SHOWN_SQL} FROM ranked WHERE place <= 30""")
 def directory_search_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.page(_events(spark, sf_dir), directory.Filters(q="(mach)", sort="newest")).select(*SHOWN)
+    return _page(spark, sf_dir, directory.Filters(q="(mach)", sort="newest")).select(*SHOWN)
 
 
 @query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE abstract_deadline IS NULL) AS by_note FROM directory
@@ -107,7 +111,7 @@ TAXONOMY = [("BUILDING", "works"), ("Machinery", "works"), ("FURNITURE", "home")
 @query(f""", taxonomy(raw, parent) AS (VALUES ('building', 'works'), ('machinery', 'works'), ('furniture', 'home'), ('household', 'home'))
 SELECT coalesce(parent, 'other') AS parent, count(*) AS n FROM directory LEFT JOIN taxonomy ON raw = lower(specialty) WHERE coalesce(end_date, start_date) >= {DAY} GROUP BY 1""")
 def facet_specialty_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = directory.facets(_events(spark, sf_dir), directory.Filters(date_from=AS_OF))
+    rows = directory.facets(A.conferences(spark, sf_dir).filter("NOT archived"), directory.Filters(date_from=AS_OF), ("specialty",))
     return directory.roll_up(rows, spark.createDataFrame(TAXONOMY, "raw string, parent string"))
 
 
@@ -207,9 +211,9 @@ def archive_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.expired(A.conferences(spark, sf_dir), AS_OF)
 
 
-@query(f"""SELECT id, source_id, last_seen_on FROM conferences WHERE NOT archived AND last_seen_on < {DAY} - 14 AND source_id IN (SELECT source_id FROM scraper_logs WHERE status = 'success')""")
+@query(f"""SELECT id, source_id, last_seen_on FROM conferences WHERE NOT archived AND last_seen_on < {DAY} - 14 AND source_id IN (SELECT source_id FROM dated_runs WHERE status = 'success' AND run_on >= {DAY} - 14)""")
 def archive_stale_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.stale(A.conferences(spark, sf_dir), A.scraper_logs(spark, sf_dir).filter("status = 'success'"), AS_OF)
+    return lifecycle.stale(A.conferences(spark, sf_dir), A.dated_runs(spark, sf_dir), AS_OF)
 
 
 @query(f"SELECT id, abstract_deadline FROM conferences WHERE NOT archived AND abstract_open AND abstract_deadline < {DAY}")
@@ -226,9 +230,9 @@ def recent_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RUNS_SQL + """SELECT source_id, count(*) AS blocked FROM runs WHERE place <= 2 GROUP BY 1 HAVING count(*) = 2 AND bool_and(status = 'blocked')
-AND source_id NOT IN (SELECT source_id FROM scraper_logs WHERE status = 'success' AND CAST(run_started_at AS DATE) >= DATE '2024-02-05' - 7)""")
+AND source_id NOT IN (SELECT source_id FROM scraper_logs WHERE status = 'success' AND CAST(run_started_at AS DATE) >= DATE '2024-02-06' - 7)""")
 def blocked_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.blocked_streaks(A.scraper_logs(spark, sf_dir), "2024-02-05", last=2)
+    return lifecycle.blocked_streaks(A.scraper_logs(spark, sf_dir), "2024-02-06", last=2)
 
 
 HASH_SQL = "sha256(concat_ws('|', name, coalesce(CAST(start_date AS VARCHAR), ''), coalesce(CAST(end_date AS VARCHAR), ''), '', CASE WHEN {sold} THEN '1' ELSE '0' END, coalesce(city, ''), ''))"
@@ -321,10 +325,10 @@ def specialty_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.specialty_alerts(A.profiles(spark, sf_dir), A.conferences(spark, sf_dir).filter("NOT archived"), AS_OF)
 
 
-@query()
+@query(ORACLE_SQL["specialty_alerts"].removeprefix(WITH_SQL))
 def specialty_alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alerts of every user."""
-    return alerts.specialty_alerts(A.all_profiles(spark, sf_dir), A.conferences(spark, sf_dir).filter("NOT archived"), AS_OF)
+    """The same, under the name that served every user before the other did."""
+    return alerts.specialty_alerts(A.profiles(spark, sf_dir), A.conferences(spark, sf_dir).filter("NOT archived"), AS_OF)
 
 
 @query(f"""SELECT r.id, user_id, conference_id, CASE WHEN archived IS NULL OR archived THEN 'cancelled' ELSE 'sent' END AS outcome FROM reminders r LEFT JOIN conferences c ON c.id = conference_id WHERE status = 'scheduled' AND scheduled_for <= {DAY}""")
@@ -342,11 +346,11 @@ _WORDS_SQL = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(
 
 @query(f""", w AS (SELECT id, start_date, unnest({_WORDS_SQL}) AS word FROM (SELECT id, start_date, name || ' ' || city AS label FROM conferences WHERE start_date IS NOT NULL AND NOT archived))
 SELECT a.id AS submitted_id, b.id AS event_id, count(*) AS shared, abs(any_value(datediff('day', b.start_date, a.start_date))) AS days_apart
-FROM w a JOIN w b ON a.word = b.word AND a.id <> b.id AND abs(datediff('day', b.start_date, a.start_date)) <= 30 WHERE a.id % 250 = 3 GROUP BY 1, 2 HAVING count(*) >= 2""")
+FROM w a JOIN w b ON a.word = b.word AND a.id <> b.id AND abs(datediff('day', b.start_date, a.start_date)) <= 30 WHERE a.id % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submissions are events that another site sent in: those whose id leaves 3 by 250."""
+    """A search: the events whose id is divisible by 100 are looked up among all."""
     rows = A.conferences(spark, sf_dir).filter("NOT archived").withColumn("name", F.concat("name", F.lit(" "), "city"))
-    return community.duplicate_candidates(rows.filter("id % 250 = 3"), rows)
+    return community.duplicate_candidates(rows.filter("id % 100 = 0"), rows)
 
 
 @query()
@@ -464,3 +468,6 @@ def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = A.raw(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return health.run_available(health.source_health(A.runs(events)))
+
+
+from eventide.plans import ingest, review  # noqa: E402, F401  they register their queries

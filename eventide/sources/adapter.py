@@ -34,7 +34,7 @@ def _choice(key: Column, *values: str) -> Column:
 def conferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = raw(spark, sf_dir, "orders")
     customer, nation, region = (raw(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    n_sources = raw(spark, sf_dir, "supplier").count()
+    n_sources = raw(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     rows = (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -115,12 +115,12 @@ def community_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users of all_profiles() that the SQL has."""
-    return all_profiles(spark, sf_dir).filter("user_id % 20 = 0")
+def dated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs by day, on the calendar of the conferences."""
+    return scraper_logs(spark, sf_dir).select("id", "source_id", "status", F.date_sub(F.col("run_started_at").cast("date"), 9358).alias("run_on"))
 
 
-def all_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with a specialty and the day up to which they were told of new events."""
     c = F.col("c_custkey")
     return raw(spark, sf_dir, "customer").select(c.alias("user_id"), F.when(c % 7 != 0, F.lower("c_mktsegment")).alias("specialty"), F.when(c % 3 != 0, F.date_add(F.lit("1998-01-01").cast("date"), (c % 150).cast("int"))).alias("watermark"))
@@ -164,13 +164,15 @@ WITH sources AS (
 ), scraper_logs AS (
   SELECT event_id AS id, user_id AS source_id, ts AS run_started_at,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'blocked' ELSE 'success' END AS status FROM events
+), dated_runs AS (
+  SELECT id, source_id, status, CAST(run_started_at AS DATE) - 9358 AS run_on FROM scraper_logs
 ), community_facts AS (
   SELECT event_id AS id, event_id % 400 AS conference_id,
     CASE event_type WHEN 'signup' THEN 'city' WHEN 'view' THEN 'venue_name' WHEN 'purchase' THEN 'price' WHEN 'click' THEN 'event_format' ELSE 'cpd_points' END AS field,
     props ->> '$.k' AS value, event_id % 6 <> 0 AS is_published, CAST(ts AS DATE) AS created_on FROM events
 ), profiles AS (
   SELECT c_custkey AS user_id, CASE WHEN c_custkey % 7 <> 0 THEN lower(c_mktsegment) END AS specialty,
-    CASE WHEN c_custkey % 3 <> 0 THEN DATE '1998-01-01' + CAST(c_custkey % 150 AS INT) END AS watermark FROM customer WHERE c_custkey % 20 = 0
+    CASE WHEN c_custkey % 3 <> 0 THEN DATE '1998-01-01' + CAST(c_custkey % 150 AS INT) END AS watermark FROM customer
 ), reminders AS (
   SELECT event_id AS id, user_id, event_id * 3 % 20000 AS conference_id, CAST(ts AS DATE) - 9358 AS scheduled_for,
     CASE WHEN event_id % 4 = 0 THEN 'sent' ELSE 'scheduled' END AS status FROM events

@@ -33,7 +33,7 @@ def run_available(stream: DataFrame) -> DataFrame:
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
-        done.append(number)
+        done[:] = [number]
 
     stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows/{done[-1]}") if done else spark.createDataFrame([], stream.schema)
