@@ -221,17 +221,20 @@ _SPAN_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _indexed(contents: DataFrame, length: int) -> DataFrame:
-    """gram, body, spans: what repeats of each piece, by the run-length index of its block.
+    """gram, body, spans: what repeats of the pieces that stand once, by the run-length index of their block.
 
-    A piece that stands several times is held twice, which is all that its other copies could tell.
+    A piece that stands several times is represented by one of its copies: it repeats as a whole, and the index holds it
+    for what it shares with the others.
     """
 
     def block(held: dict[int, tuple[int, int, bytes]]) -> pa.RecordBatch:
         rows = list(held.values())
-        index = RunLengthIndex([t for _, _, t in rows] + [t for _, c, t in rows if c > 1])
+        index = RunLengthIndex([t for _, _, t in rows])
         long_enough = np.concatenate([index.matching_statistics() >= length, [False]])
         out: list[list] = [[], [], []]
-        for (gram, _, text), body, first in zip(rows, held, index.starts.tolist(), strict=False):
+        for (gram, c, text), body, first in zip(rows, held, index.starts.tolist(), strict=True):
+            if c > 1:
+                continue
             here = np.zeros(len(text) - length + 3, np.int8)
             here[1:-1] = long_enough[first : first + len(text) - length + 1]
             edge = np.diff(here)
@@ -251,7 +254,7 @@ def _indexed(contents: DataFrame, length: int) -> DataFrame:
                 last = gram
                 if body not in held:
                     held[body] = gram, c, text
-                    size += len(text) * (2 if c > 1 else 1)
+                    size += len(text)
         if held:
             yield block(held)
 
@@ -269,8 +272,8 @@ def _windowed(contents: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[::2]), pa.array(names[1::2]), pa.array(np.full(n, gram)), pa.array(np.full(n, body)), pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32))], names=["w1", "w2", "gram", "body", "c", "a"])
 
     rows = materialize(contents.mapInArrow(tidy(run), "w1 long, w2 long, gram long, body long, c long, a int"), "windows")
-    again = rows.select("w1", "w2", "gram", "body", "c").distinct().groupBy("w1", "w2").agg(F.sum("c").alias("n")).filter("n > 1")
-    hits = rows.join(again, ["w1", "w2"], "left_semi")
+    again = rows.select("w1", "w2", "gram", "body").distinct().groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hits = rows.filter("c = 1").join(again, ["w1", "w2"], "left_semi")
     return hits.groupBy("gram", "body").agg(F.sort_array(F.collect_set(F.struct("a", (F.col("a") + length).alias("b")))).alias("spans"))  # at most length - k + 1
 
 
@@ -281,17 +284,17 @@ def _marked(docs: DataFrame, length: int) -> DataFrame:
     found = materialize(found.join(often, "gram", "left_semi"), "pieces")
     one = found.groupBy("gram", "body").agg(F.sum("times").alias("c"), *(F.first(c).alias(c) for c in ("key", "tag", "start", "windows")))
     one = materialize(one, "bodies")
-    kinds = one.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.max("c").alias("most")).filter("kinds > 1 OR most > 1")
-    shared = materialize(one.join(kinds.drop("most"), "gram"), "shared")
+    kinds = one.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    shared = materialize(one.join(kinds, "gram"), "shared")
     spans = [_indexed(_contents(docs, shared.filter(F.col("kinds") <= BLOCK_PIECES), length), length)]
     hot = shared.filter(F.col("kinds") > BLOCK_PIECES)
     if not hot.isEmpty():
         spans.append(_windowed(_contents(docs, hot, length), length))
     part = materialize(spans[0] if len(spans) == 1 else spans[0].union(spans[1]), "spans")
-    # a run of equal neighbours is one piece after the other, all of them marked from end to end
-    some = found.join(part, ["gram", "body"]).select("key", "tag", "start", (F.col("start") + F.col("windows") * (F.col("times") - 1)).alias("last"), F.explode("spans").alias("s"))
-    some = some.select("key", "tag", (F.col("start") + F.col("s.a")).alias("a"), (F.col("last") + F.col("s.b")).alias("b"))
-    return some.groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by one text
+    # pieces that stand several times repeat from end to end, and so do all of a run of equal neighbours
+    whole = found.join(one.filter("c > 1").select("gram", "body"), ["gram", "body"], "left_semi").select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("windows") * F.col("times") + length - 1).alias("b"))
+    some = found.join(part, ["gram", "body"]).select("key", "tag", "start", F.explode("spans").alias("s")).select("key", "tag", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    return whole.union(some).groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by one text
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, keep: bool = True) -> DataFrame:
