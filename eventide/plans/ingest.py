@@ -66,10 +66,10 @@ def last_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.last_success(A.scraper_logs(spark, sf_dir))
 
 
-@query("SELECT source_url, c.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS tiers FROM conferences c LEFT JOIN pricing_tiers p ON p.conference_id = c.id WHERE source_url LIKE '%/event/17#fees' OR source_url LIKE '%/event/18' GROUP BY 1, 2")
+@query("SELECT source_url, c.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS tiers FROM conferences c LEFT JOIN pricing_tiers p ON p.conference_id = c.id WHERE source_url LIKE '%/event/17' OR source_url LIKE '%/event/18#fees' GROUP BY 1, 2")
 def events_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events on some pages, with the ids of their tiers."""
-    events = A.conferences(spark, sf_dir).filter(F.col("source_url").rlike("/event/(17#fees|18)$"))
+    events = A.conferences(spark, sf_dir).filter(F.col("source_url").rlike("/event/(17|18#fees)$"))
     return directory.with_tiers(events.select("source_url", "id"), A.pricing_tiers(spark, sf_dir))
 
 
