@@ -28,6 +28,8 @@ ORDERS = 4
 CHUNK_SETS, CHUNK_GRAMS = 1024, 1_000_000
 #: Sets of each component of a large cluster's chunk that are compared with those of the other chunks first.
 HEADS = 8
+#: Bits of the bitmap that tells which ids may be among some; its broadcast is 16 MB at most, however many ids.
+BITS = 1 << 27
 #: N-grams of a chunk whose overlaps are counted at a time.
 COLUMNS = 4096
 
@@ -174,13 +176,23 @@ def _chunks(own: DataFrame) -> DataFrame:
     return own.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
 
 
+def _among(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows of docs whose id may be among own's: all of those, and few others while own has fewer ids than BITS."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
+    bits = own.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    at = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "bucket")
+    return found.withColumn("byte", byte).withColumn("at", at % 8).filter("(shiftright(byte, at) & 1) = 1").select(*docs.columns)
+
+
 def _compared(docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: pairs that hold together what links among own (id, name, label, lo, hi, los, his).
 
     A set is in the unit (label, lo); or, with his, on side 1 of the units (label, lo, 0 to his) and, with its own hi,
     on side 2 of the units (label, 0 to los, hi). Units are compared each by itself, side with side.
     """
-    texts = docs.select("id", "text").join(own, "id")
+    texts = _among(docs.select("id", "text"), own).join(own, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:

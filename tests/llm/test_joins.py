@@ -145,3 +145,13 @@ def test_matching_statistics():
         for k in range(len(t)):
             want = max((n for n in range(len(t) - k + 1) if any(whole[j : j + n] == t[k : k + n] and b"\0" not in whole[j : j + n] for j in range(len(whole)) if j != first + k)), default=0)
             assert min(got[first + k], len(t) - k) == want
+
+
+def test_bitmap_of_ids(spark):
+    """Every row of the ids asked for passes, whatever their type, and few others; none pass an empty table."""
+    for kind in ("id", "concat('x', id)"):
+        docs = spark.range(20000).selectExpr(f"{kind} AS id", "'t' AS text")
+        want = {r["id"] for r in spark.range(0, 20000, 7).selectExpr(f"{kind} AS id").collect()}
+        got = {r["id"] for r in ngram_join._among(docs, spark.range(0, 20000, 7).selectExpr(f"{kind} AS id")).collect()}
+        assert want <= got and len(got) < 1.01 * len(want)
+        assert ngram_join._among(docs, docs.filter("false")).count() == 0
