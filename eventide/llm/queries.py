@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, decontaminate, html_text, media, ngram_join, pii, quality, suffix_dedup, url_rules
+from eventide.llm import bpe, decontaminate, divergence, html_text, media, ngram_join, pii, quality, suffix_dedup, url_rules
 from eventide.llm.common import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -63,7 +63,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op9_ngram_jaccard_join, op10_url_filters)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op9_ngram_jaccard_join, op10_url_filters, op11_source_divergence)}
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filters": r"""
 WITH u AS (
@@ -79,5 +83,38 @@ WITH u AS (
   FROM p LEFT JOIN r ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath)
 )
 SELECT page_id, host, path, rhost || rpath AS rule, coalesce(rverdict, 'allow') AS verdict FROM fit WHERE place = 1
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), w AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 3
+), l AS (
+  SELECT lang, count(*) AS v, sum(total) AS total FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN (SELECT c.* FROM c JOIN kept USING (lang, term)) c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), p AS (
+  SELECT n.lang, n.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + ((1000000000::HUGEINT * (coalesce(c.n, 0) + 1)::HUGEINT) // (n.total + l.v)::HUGEINT)::BIGINT AS p,
+         1 + ((1000000000::HUGEINT * (kept.total + 1)::HUGEINT) // (l.total + l.v)::HUGEINT)::BIGINT AS q
+  FROM n JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = kept.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }
