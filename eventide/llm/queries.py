@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, decontaminate, divergence, html_text, media, ngram_join, pii, quality, suffix_dedup, url_rules
+from eventide.llm import bpe, decontaminate, divergence, html_text, media, ngram_join, pii, prefix_trie, quality, suffix_dedup, url_rules
 from eventide.llm.common import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -67,7 +67,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op9_ngram_jaccard_join, op10_url_filters, op11_source_divergence)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op9_ngram_jaccard_join, op10_url_filters, op11_source_divergence, op13_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filters": r"""
 WITH u AS (
@@ -116,5 +120,44 @@ WITH d AS (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+    "op13_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv, conv - conv % 20 AS template,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv FROM own)
+), taken AS (
+  SELECT c.conv, h, count(own.pos) AS m FROM c LEFT JOIN own ON own.conv = template AND own.pos <= h GROUP BY ALL
+), turns AS (
+  SELECT c.conv, own.pos, own.role, own.text FROM c JOIN own ON own.conv = template AND own.pos <= h
+  UNION ALL
+  SELECT own.conv, own.pos - h + m, own.role, own.text FROM own JOIN taken USING (conv) WHERE own.pos > h
+), path AS (
+  SELECT conv, pos AS depth, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv ORDER BY pos)) AS node,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns
+  UNION ALL SELECT conv, 0, 'root', 0 FROM c
+), ends AS (
+  SELECT conv, max_by(node, depth) AS node FROM path GROUP BY conv
+), hashes AS (
+  SELECT node, sha256(string_agg(conv::VARCHAR, ',' ORDER BY conv)) AS ends_sha256 FROM ends GROUP BY node
+), nodes AS (
+  SELECT node, depth, min(conv) AS conv, count(*) AS n, any_value(words) AS words FROM path GROUP BY ALL
+), kin AS (
+  SELECT n.node, p.node AS above, n.depth - p.depth AS steps FROM nodes n JOIN path p ON p.conv = n.conv AND p.depth <= n.depth
+), children AS (
+  SELECT above AS node, count(*) AS k FROM kin WHERE steps = 1 GROUP BY ALL
+), below AS (
+  SELECT above AS node, sum((k IS NULL)::BIGINT)::BIGINT AS leaves, sum((n.n - 1) * n.words)::BIGINT AS saved
+  FROM kin JOIN nodes n USING (node) LEFT JOIN children ON children.node = kin.node GROUP BY ALL
+)
+SELECT n.conv AS conv_id, n.depth, p.conv AS parent_conv_id, n.n AS n_convs, coalesce(children.k, 0) AS n_children,
+       below.leaves AS n_leaves, below.saved AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN below USING (node) LEFT JOIN children USING (node) LEFT JOIN hashes USING (node)
+LEFT JOIN kin ON kin.node = n.node AND steps = 1 LEFT JOIN nodes p ON p.node = kin.above
 """,
 }

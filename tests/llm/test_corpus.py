@@ -80,3 +80,77 @@ def test_every_two_seats_meet_once(spark, monkeypatch, seats):
     frame = spark.range(seats).select(F.col("id").cast("int").alias("seat"))
     met = [tuple(sorted(r)) for turn in range(seats - 1) for r in frame.select("seat", divergence._opponent(F.col("seat"), turn)).collect()]
     assert Counter(met) == Counter({(a, b): 2 for b in range(seats) for a in range(b)})
+
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_trie(rows, rebuild=True):
+    """rows: conv_id, turn, role, text. Nodes by tuples of turns."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [t[1:] for t in sorted(x)] for c, x in own.items()}
+    if rebuild:
+        heads = {c: crc32(str(c).encode()) % 4 for c in own}
+        own = {c: own.get(c - c % 20, [])[: heads[c]] + x[heads[c] :] for c, x in own.items()}
+    members, ends, children = defaultdict(list), defaultdict(list), defaultdict(set)
+    for c in sorted(own):
+        path = tuple(own[c])
+        ends[path].append(c)
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+            if d:
+                children[path[: d - 1]].add(path[:d])
+    leaves, saved, out = Counter(), Counter(), set()
+    for node in members:
+        words = len(WORDS.findall(node[-1][1])) if node else 0
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += node not in children
+            saved[node[:d]] += (len(members[node]) - 1) * words
+    for node, m in members.items():
+        digest = hashlib.sha256(",".join(map(str, ends[node])).encode()).hexdigest()
+        out.add((m[0], len(node), members[node[:-1]][0] if node else None, len(m), len(children[node]), leaves[node], saved[node], digest))
+    return out
+
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def nodes_of(df):
+    got = [tuple(r) for r in df.select(*COLUMNS).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def odd_turns():
+    rows = [(c, t, "user" if t % 2 else None, f"turn {t} of {c % 3}") for c in range(0, 90) if c % 7 for t in range(c % 6)]
+    rows += [(200, t, "user", f"long {t} one two") for t in range(700)] + [(2000, t, "user", f"long {t} one two") for t in range(650)]
+    rows += [(300, None, "user", "first"), (300, -1, None, None), (300, 5, "b", "tie"), (300, 5, "a", "tie"), (300, 5, "a", "tie"), (300, 5, "a", "")]
+    rows += [(None, 1, "user", "of none"), (301, None, None, None), (302, None, None, None), (321, 0, "ab", "c"), (322, 0, "a", "bc")]
+    rows += [(c, t, "user", f"copied {t}") for c in range(5000, 5030) for t in range(5)] + [(10**15 + k, 1, "x", "far   apart") for k in (1, 7, 70_000)]
+    return rows
+
+
+def test_trie(spark):
+    """Nulls, ties, repeated rows, missing templates, copies, long conversations over several blocks."""
+    from eventide.llm import prefix_trie
+
+    rows = odd_turns()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("conv", "pos", "words", "ka", "block", "a")}).repartition(7)
+    turns = prefix_trie.sequences(df)
+    assert nodes_of(prefix_trie.trie(*prefix_trie.rebuilt(turns))) == plain_trie(rows)
+    assert nodes_of(prefix_trie.prefix_trie(df)) == plain_trie(rows, rebuild=False)
+    empty = df.limit(0)
+    assert nodes_of(prefix_trie.prefix_trie(empty)) == set()
+    assert nodes_of(prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.sequences(empty)))) == set()
+
+
+def test_sums_wrap(spark):
+    from eventide.llm import prefix_trie
+
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 2**32, -(2**32), 0x123456789ABCDEF]
+    df = spark.createDataFrame([(a, b) for a in values for b in values], "a long, b long")
+    for a, b, s in df.select("a", "b", prefix_trie._wrapped(F.col("a"), F.col("b"))).collect():
+        assert s == (a + b + 2**63) % 2**64 - 2**63
