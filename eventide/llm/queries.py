@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, decontaminate, divergence, html_text, media, ngram_join, pii, prefix_trie, quality, suffix_dedup, url_rules
+from eventide.llm import bpe, decontaminate, divergence, html_text, language_model, media, ngram_join, pii, prefix_trie, quality, suffix_dedup, url_rules
 from eventide.llm.common import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -67,11 +67,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op9_ngram_jaccard_join, op10_url_filters, op11_source_divergence, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_token_counts, op5_byte_bpe, op6_quality_classifier, op7_html_extraction, op8_pii, op9_ngram_jaccard_join, op10_url_filters, op11_source_divergence, op12_language_model, op13_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filters": r"""
 WITH u AS (

@@ -154,3 +154,101 @@ def test_sums_wrap(spark):
     df = spark.createDataFrame([(a, b) for a in values for b in values], "a long, b long")
     for a, b, s in df.select("a", "b", prefix_trie._wrapped(F.col("a"), F.col("b"))).collect():
         assert s == (a + b + 2**63) % 2**64 - 2**63
+
+
+def plain_tokens(text):
+    return [*(w.translate(LOWER) for w in WORDS.findall(text or "")), ""]
+
+
+def plain_base(rows):
+    """rows: doc_id, text. held_out, n_tokens, n_known, train_tokens and base_score of each."""
+    held = [d is not None and crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    c = Counter(t for (_, text), h in zip(rows, held, strict=True) if not h for t in plain_tokens(text))
+    total = sum(c.values())
+    out = []
+    for (d, text), h in zip(rows, held, strict=True):
+        own = plain_tokens(text)
+        out.append((d, h, len(own), sum(t in c for t in own), total, sum(log10((c[t] + 1) / (total + len(c) + 1)) for t in own)))
+    return out
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+
+
+def test_language_model(docs, twice):
+    """Counts as a plain version has them, over odd texts, repeated rows and null ids; the model does better on rows it never saw."""
+    from eventide.llm import language_model
+
+    for df in (docs, twice):
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+        got = [tuple(r) for r in language_model.score(df).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()]
+        for g, w in zip(ordered(got), ordered(plain_base(rows)), strict=True):
+            assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], abs=1e-6) and g[6] < 0
+        if df is docs:
+            unseen = [g for g in got if g[1] and g[0] < 100_000]
+            assert len(unseen) > 15 and sum(g[6] for g in unseen) > sum(g[5] for g in unseen) + 0.03 * sum(g[2] for g in unseen)
+
+
+def test_language_model_without_rows(no_docs, spark):
+    from eventide.llm import language_model
+
+    assert language_model.score(no_docs).collect() == []
+    held = next(k for k in range(100) if crc32(str(k).encode()) % 7 == 2)
+    only = language_model.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
+    assert (only["n_tokens"], only["n_known"], only["train_tokens"], only["base_score"]) == (3, 0, 0, 0.0)
+
+
+def plain_score(model, counts, tokens):
+    """log10 of the model's probability of a document's tokens, token by token, from its weights."""
+    from eventide.llm import language_model as lm
+
+    hashed, c, m = lm.named(tokens)
+    rest, out = Counter(), 0.0
+    for w, (k, j) in zip(counts, zip(*lm.named(list(counts))[1:], strict=True), strict=True):
+        rest[int(k), int(j)] += counts[w] + 1
+    for i in range(len(tokens)):
+        context = lm.Model.context(hashed[max(i - 2, 0) : i + 1], np.array([min(i, 2) + 1]))[:, -1:]
+        of_class, of_member = lm.Model.rows(context, c[i : i + 1])
+        for logits, own in ((model.weights[0] + model.weights[of_class[:, 0]].sum(0), c[i]), (model.weights[of_member[:, 0]].sum(0), m[i])):
+            p = np.exp(logits.astype(float))
+            out += log10(p[own] / p.sum())
+        out += log10((counts.get(tokens[i], 0) + 1) / (rest[int(c[i]), int(m[i])] + 1))
+    return out
+
+
+def test_model_is_a_distribution():
+    """Scores are those of the softmaxes written out, and the probabilities of all words sum to one, an unknown one for each class and member included."""
+    from eventide.llm import language_model as lm
+
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(500)]
+    texts = [[*rng.choice(words[: 50 * (1 + k % 10)], 60), ""] for k in range(40)]
+    counts = Counter(t for x in texts for t in x)
+    hashed, c, m = lm.named(list(counts))
+    cells = np.zeros((2, lm.CLASSES**2), np.int64)
+    np.add.at(cells[0], c * lm.CLASSES + m, list(counts.values()))
+    np.add.at(cells[1], c * lm.CLASSES + m, 1)
+    model, touched = lm.Model(cells), np.zeros(lm.ROWS, bool)
+    flat = [t for x in texts for t in x]
+    lengths = np.array([len(x) for x in texts])
+
+    def scored(tokens, lengths):
+        h, c, m = lm.named(tokens)
+        n = np.array([counts.get(t, 0) for t in tokens])
+        return model.score(h, c, m, lengths) + np.log10(n + 1) - model.log_mass[c * lm.CLASSES + m]
+
+    before = scored(flat, lengths).sum()
+    for _ in range(3):
+        model.learn(*lm.named(flat), lengths, touched)
+    assert scored(flat, lengths).sum() > before
+    for x in texts[:3]:
+        assert scored(x, np.array([len(x)])).sum() == pytest.approx(plain_score(model, counts, x), rel=1e-4)
+    known = [10 ** scored(["w1", "w2", t], np.array([3]))[-1] for t in counts]
+    context = lm.Model.context(lm.named(["w1", "w2", "x"])[0], np.array([3]))[:, -1:]
+    unknown = 0.0
+    for k in range(lm.CLASSES):
+        of_class, of_member = lm.Model.rows(context, np.array([k]))
+        p, q = (np.exp(x) / np.exp(x).sum() for x in (model.weights[0] + model.weights[of_class[:, 0]].sum(0), model.weights[of_member[:, 0]].sum(0)))
+        unknown += (p[k] * q / 10 ** model.log_mass.reshape(lm.CLASSES, -1)[k]).sum()
+    assert sum(known) + unknown == pytest.approx(1, rel=1e-4)
