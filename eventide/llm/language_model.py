@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from eventide.llm.common import materialize, mixed, powers, prefix_sums, tidy
 from eventide.llm.words import WORD, byte_slices, runs
 
-#: Bytes of text in a slice, about; tokens in a gradient step; rounds, in each of which other documents are learned from.
-SLICE, STEP, ROUNDS = 4_000_000, 4096, 3
+#: Bytes of text in a slice, about; tokens in a gradient step; rounds, in each of which other slices are learned from.
+SLICE, STEP, ROUNDS = 8_000_000, 8192, 3
 #: Classes, members in each (as many), rows of hashed weights of either softmax.
 CLASSES, CLASS_ROWS, MEMBER_ROWS = 32, 1 << 13, 1 << 15
 ROWS = 1 + CLASSES + CLASS_ROWS + MEMBER_ROWS
@@ -31,6 +31,8 @@ RATE = 0.15
 #: Sums of weights stay within this bound, far beyond what training reaches, so that exponentials do.
 MOST = np.float32(80)
 ONES = np.ones(CLASSES, np.float32)
+#: Rows of equal keys that are summed at once; a matter of time only.
+FEW = 8
 #: Rows of weights that are averaged at a time.
 BLOCK = 4096
 SALTS = np.array([0x1F3B, 0x2A6D, 0x4E17], np.uint64) << np.uint64(40)
@@ -43,32 +45,28 @@ def training(id_col: str = "doc_id") -> Column:
 
 
 def _slices(docs: DataFrame) -> DataFrame:
-    """Documents of a round (-1: held out) by slices: part, round, ids, lengths (tokens), codes of the tokens, dictionary (words, spaces between; code 0 is the end)."""
+    """Documents by slices: part, round, ids, held, lengths (tokens), codes of the tokens, dictionary (words, spaces between; code 0 is the end)."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
+        task, count = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for turn in np.unique(rounds := whole.column(1).to_numpy()):
-                own = whole.take(pa.array(np.flatnonzero(rounds == turn)))
-                for first, last in byte_slices(own.column(2), SLICE):
-                    b = own.slice(first, last - first)
-                    found, at = runs(b.column(2), WORD)
-                    coded = found.dictionary_encode()
-                    lengths = np.diff(at) + 1
-                    codes = np.zeros(len(found) + b.num_rows, np.int32)
-                    inside = np.ones(len(codes), bool)
-                    inside[np.cumsum(lengths) - 1] = False
-                    codes[inside] = coded.indices.to_numpy() + 1
-                    body = zlib.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # equal high bytes stand together
-                    cells = [part, int(turn), b.column(0).to_pylist(), lengths, body, " ".join(coded.dictionary.to_pylist()).encode()]
-                    part += 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([cells[0]]), pa.array([cells[1]], pa.int32()), pa.array([cells[2]], pa.list_(own.column(0).type)), pa.array([cells[3]], pa.list_(pa.int64())), pa.array([cells[4]], pa.binary()), pa.array([cells[5]], pa.binary())],
-                        names=["part", "round", "ids", "lengths", "codes", "dictionary"],
-                    )
-
-    return docs.select("id", "round", "text").mapInArrow(tidy(run), f"part long, round int, ids array<{kind}>, lengths array<long>, codes binary, dictionary binary")
+            for first, last in byte_slices(whole.column(2), SLICE):
+                b = whole.slice(first, last - first)
+                found, at = runs(b.column(2), WORD)
+                coded = found.dictionary_encode()
+                lengths = np.diff(at) + 1
+                codes = np.zeros(len(found) + b.num_rows, np.int32)
+                inside = np.ones(len(codes), bool)
+                inside[np.cumsum(lengths) - 1] = False
+                codes[inside] = coded.indices.to_numpy() + 1
+                body = zlib.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # equal high bytes stand together
+                lists = [pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([b.column(1).to_pylist()], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int64()))]
+                bodies = [pa.array([x], pa.binary()) for x in (body, " ".join(coded.dictionary.to_pylist()).encode())]
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + count]), pa.array([(task + count) % ROUNDS], pa.int32()), *lists, *bodies], names=["part", "round", "ids", "held", "lengths", "codes", "dictionary"])
+                count += 1
+
+    return docs.select("id", "held", "text").mapInArrow(tidy(run), f"part long, round int, ids array<{kind}>, held array<boolean>, lengths array<long>, codes binary, dictionary binary")
 
 
 def _codes(body: bytes) -> np.ndarray:
@@ -95,16 +93,23 @@ def named(words: list[str] | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashed, (mixed(last * np.uint64(256) + before + np.uint64(1)) >> shift).astype(np.int64), (mixed(hashed + np.uint64(3)) >> shift).astype(np.int64)
 
 
+def _learned_from(held: list[bool], lengths: list[int], codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and lengths of a slice's training documents."""
+    own, lengths = ~np.array(held, bool), np.array(lengths, np.int64)
+    return _codes(codes)[np.repeat(own, lengths)], lengths[own]
+
+
 def _counts(slices: DataFrame) -> DataFrame:
-    """token, n: occurrences in the slices, the end among them as the empty token."""
+    """token, n: occurrences in training documents, the end among them as the empty token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for body, dictionary in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = np.bincount(_codes(body))
-                yield pa.RecordBatch.from_arrays([pa.array(_words(dictionary), pa.string()), pa.array(n)], names=["token", "n"])
+            for *of, dictionary in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n = np.bincount(_learned_from(*of)[0])
+                own = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(_words(dictionary), pa.string()).take(pa.array(own)), pa.array(n[own])], names=["token", "n"])
 
-    return slices.select("codes", "dictionary").mapInArrow(tidy(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return slices.select("held", "lengths", "codes", "dictionary").mapInArrow(tidy(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _cells(vocabulary: DataFrame) -> np.ndarray:
@@ -126,6 +131,26 @@ def _cells(vocabulary: DataFrame) -> np.ndarray:
     return out
 
 
+def sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and for each the sum of its rows; key i is that of row i modulo the number of rows. Keys that come a few times are summed all at once."""
+    at = np.argsort(keys, kind="stable")
+    keys = keys[at]
+    at %= len(rows)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.diff(np.append(starts, len(keys)))
+    out = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    for k in range(1, FEW + 1):
+        own = np.flatnonzero(n == k)
+        first = starts[own]
+        total = rows.take(at[first], axis=0)
+        for j in range(1, k):
+            total += rows.take(at[first + j], axis=0)
+        out[own] = total
+    for k in np.flatnonzero(n > FEW).tolist():
+        np.add.reduce(rows.take(at[starts[k] : starts[k] + n[k]], axis=0), axis=0, out=out[k])
+    return keys[starts], out
+
+
 class Model:
     """weights: a row for the classes' bias, one for each class's members' bias, then hashed rows. seen: squared gradients so far, by row."""
 
@@ -143,23 +168,22 @@ class Model:
         """Hashes of each token's features, of the words before it in its document."""
         n = len(hashed)
         place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        before = [np.where(place >= k, np.concatenate([np.full(min(k, n), START), hashed[: max(n - k, 0)]]), START + np.uint64(k)) for k in (1, 2)]
-        return np.stack([mixed(x ^ s) for x, s in zip([*before, before[0] * np.uint64(3) + before[1]], SALTS, strict=True)])
+        last, skipped = (np.where(place >= k, np.concatenate([np.full(min(k, n), START), hashed[: max(n - k, 0)]]), START + np.uint64(k)) for k in (1, 2))
+        return np.stack([mixed(x ^ s) for x, s in zip([last, skipped, last * np.uint64(3) + skipped], SALTS, strict=True)])
 
     @staticmethod
     def rows(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of weights that each token's class and member are judged by."""
-        of_class = (context % np.uint64(CLASS_ROWS)).astype(np.int64) + (1 + CLASSES)
-        of_member = (mixed(context + c.astype(np.uint64)) % np.uint64(MEMBER_ROWS)).astype(np.int64) + (1 + CLASSES + CLASS_ROWS)
-        return of_class, np.concatenate([1 + c[None], of_member])
+        of_class = (context[:2] % np.uint64(CLASS_ROWS)).astype(np.int64) + (1 + CLASSES)
+        of_member = (mixed(context[::2] + c.astype(np.uint64)) % np.uint64(MEMBER_ROWS)).astype(np.int64) + (1 + CLASSES + CLASS_ROWS)
+        return of_class, of_member
 
-    def _softmax(self, rows: np.ndarray, bias: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _softmax(self, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token the sums of weights of all outcomes, their exponentials and the sums of those."""
         x = self.weights.take(rows[0], axis=0)
         for r in rows[1:]:
             x += self.weights.take(r, axis=0)
-        if bias is not None:
-            x += bias
+        x += bias
         np.clip(x, -MOST, MOST, out=x)
         p = np.exp(x)
         return x, p, p @ ONES
@@ -169,7 +193,7 @@ class Model:
         context, out = self.context(hashed, lengths), np.zeros(len(hashed))
         for a in range(0, len(hashed), STEP):
             b = min(a + STEP, len(hashed))
-            for rows, bias, of in zip(self.rows(context[:, a:b], c[a:b]), (self.weights[0], None), (c[a:b], m[a:b]), strict=True):
+            for rows, bias, of in zip(self.rows(context[:, a:b], c[a:b]), (self.weights[0], self.weights.take(1 + c[a:b], axis=0)), (c[a:b], m[a:b]), strict=True):
                 x, _, total = self._softmax(rows, bias)
                 out[a:b] += x[np.arange(b - a), of] - np.log(total)
         return out / np.log(10)
@@ -179,20 +203,18 @@ class Model:
         context = self.context(hashed, lengths)
         for a in range(0, len(hashed), STEP):
             b = min(a + STEP, len(hashed))
-            for rows, bias, of in zip(self.rows(context[:, a:b], c[a:b]), (self.weights[0], None), (c[a:b], m[a:b]), strict=True):
-                _, slope, total = self._softmax(rows, bias)
+            biases = [(np.zeros(1, np.int64), np.ones((1, b - a), np.float32)), (np.arange(1, 1 + CLASSES), (c[None, a:b] == np.arange(CLASSES)[:, None]).astype(np.float32))]
+            for rows, (bias, whose), of in zip(self.rows(context[:, a:b], c[a:b]), biases, (c[a:b], m[a:b]), strict=True):
+                _, slope, total = self._softmax(rows, self.weights[0] if len(bias) == 1 else self.weights.take(1 + c[a:b], axis=0))
                 slope /= total[:, None]
                 slope[np.arange(b - a), of] -= 1
-                flat = rows.ravel().astype(np.uint16)
-                by = np.argsort(flat, kind="stable")
-                flat = flat[by]
-                starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                own = flat[starts].astype(np.int64)
-                sums = np.add.reduceat(slope.take(by % (b - a), axis=0), starts, axis=0)
-                if bias is not None:
-                    own, sums = np.append(own, 0), np.concatenate([sums, slope.sum(0, keepdims=True)])
-                self.seen[own] += (sums * sums) @ ONES / CLASSES
-                self.weights[own] -= RATE * sums / np.sqrt(self.seen[own])[:, None]
+                own, sums = sums_by(rows.ravel().astype(np.uint16), slope)
+                own, sums = np.concatenate([own.astype(np.int64), bias]), np.concatenate([sums, whose @ slope])
+                seen = self.seen.take(own) + (sums * sums) @ ONES / CLASSES
+                self.seen[own] = seen
+                sums *= (-RATE / np.sqrt(seen))[:, None]
+                sums += self.weights.take(own, axis=0)
+                self.weights[own] = sums
                 touched[own] = True
 
 
@@ -208,15 +230,14 @@ def train(slices: DataFrame, cells: np.ndarray) -> Model:
             weights, seen = shared.value
             own.weights, own.seen = weights.copy(), seen.copy()
             for b in batches:
-                for lengths, body, dictionary in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    codes = _codes(body)
-                    hashed, c, m = (x[codes] for x in named(_words(dictionary)))
-                    own.learn(hashed, c, m, np.array(lengths), touched)
+                for *of, dictionary in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    codes, lengths = _learned_from(*of)
+                    own.learn(*(x[codes] for x in named(_words(dictionary))), lengths, touched)
             task = TaskContext.get().partitionId()
             for k in range(0, ROWS, BLOCK):
                 if (rows := k + np.flatnonzero(touched[k : k + BLOCK])).size:
-                    change = np.concatenate([own.weights[rows] - weights[rows], (own.seen[rows] - seen[rows])[:, None]], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([task]), pa.array([rows.astype(np.int32).tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], names=["block", "task", "rows", "change"])
+                    bodies = [rows.astype(np.int32), (own.weights[rows] - weights[rows]).astype(np.float16), own.seen[rows] - seen[rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([task]), *(pa.array([x.tobytes()], pa.binary()) for x in bodies)], names=["block", "task", "rows", "change", "seen"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Blocks come one after the other, and tasks in order: sums are the same in every run."""
@@ -227,18 +248,19 @@ def train(slices: DataFrame, cells: np.ndarray) -> Model:
                 return pa.RecordBatch.from_arrays([pa.array([(own + block).astype(np.int32).tobytes()], pa.binary()), pa.array([(total[own] / n[own, None]).astype(np.float32).tobytes()], pa.binary())], names=["rows", "change"])
 
             for b in batches:
-                for k, rows, change in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                for k, _, rows, change, seen in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if k != block:
                         if block is not None:
                             yield done()
                         block, total, n = k, np.zeros((BLOCK, CLASSES + 1)), np.zeros(BLOCK)
                     at = np.frombuffer(rows, np.int32) - k
-                    total[at] += np.frombuffer(change, np.float32).reshape(-1, CLASSES + 1)
+                    total[at, :-1] += np.frombuffer(change, np.float16).reshape(-1, CLASSES)
+                    total[at, -1] += np.frombuffer(seen, np.float32)
                     n[at] += 1
             if block is not None:
                 yield done()
 
-        learned = slices.filter(F.col("round") == turn).select("lengths", "codes", "dictionary").mapInArrow(tidy(run), "block long, task long, rows binary, change binary")
+        learned = slices.filter(F.col("round") == turn).select("held", "lengths", "codes", "dictionary").mapInArrow(tidy(run), "block long, task long, rows binary, change binary, seen binary")
         learned = learned.repartition("block").sortWithinPartitions("block", "task").mapInArrow(tidy(average), "rows binary, change binary")
         for rows, change in learned.collect():  # at most the model's size
             at = np.frombuffer(rows, np.int32)
@@ -273,9 +295,9 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     """
     spark = docs.sparkSession
     held = ~training(id_col)
-    docs = docs.select(F.col(id_col).alias("id"), F.when(held, -1).otherwise(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS))).cast("int").alias("round"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
     slices = materialize(_slices(docs), "lm-slices")
-    vocabulary = materialize(_counts(slices.filter("round >= 0")), "lm-vocabulary")
+    vocabulary = materialize(_counts(slices), "lm-vocabulary")
     total, words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     cells = _cells(vocabulary)
     model = train(slices, cells)
@@ -286,7 +308,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
         model = shared.value
         for b in batches:
             for k in range(b.num_rows):
-                ids, turn, lengths, body, dictionary, known = (b.column(i)[k] for i in range(6))
+                ids, held, lengths, body, dictionary, known = (b.column(i)[k] for i in range(6))
                 lengths, codes = np.array(lengths.as_py()), _codes(body.as_py())
                 hashed, c, m = named(_words(dictionary.as_py()))
                 n = np.zeros(len(hashed), np.int64)
@@ -297,9 +319,8 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
                 base = np.add.reduceat(counted[codes], starts) - lengths * whole
                 share = counted - model.log_mass[c * CLASSES + m]  # of a word in its class and member
                 scored = np.add.reduceat(model.score(hashed[codes], c[codes], m[codes], lengths) + share[codes], starts)
-                held = pa.array(np.full(len(lengths), turn.as_py() < 0))
-                yield pa.RecordBatch.from_arrays([ids.values, held, pa.array(lengths), pa.array(np.add.reduceat((n > 0).astype(np.int64)[codes], starts)), pa.array(base), pa.array(scored)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([ids.values, held.values, pa.array(lengths), pa.array(np.add.reduceat((n > 0).astype(np.int64)[codes], starts)), pa.array(base), pa.array(scored)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    rows = slices.select("part", "ids", "round", "lengths", "codes", "dictionary").join(_known(slices, vocabulary), "part", "left").drop("part")
+    rows = slices.select("part", "ids", "held", "lengths", "codes", "dictionary").join(_known(slices, vocabulary), "part", "left").drop("part")
     scored = rows.mapInArrow(tidy(run), f"id {dict(docs.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -210,7 +210,7 @@ def plain_score(model, counts, tokens):
     for i in range(len(tokens)):
         context = lm.Model.context(hashed[max(i - 2, 0) : i + 1], np.array([min(i, 2) + 1]))[:, -1:]
         of_class, of_member = lm.Model.rows(context, c[i : i + 1])
-        for logits, own in ((model.weights[0] + model.weights[of_class[:, 0]].sum(0), c[i]), (model.weights[of_member[:, 0]].sum(0), m[i])):
+        for logits, own in ((model.weights[0] + model.weights[of_class[:, 0]].sum(0), c[i]), (model.weights[1 + c[i]] + model.weights[of_member[:, 0]].sum(0), m[i])):
             p = np.exp(logits.astype(float))
             out += log10(p[own] / p.sum())
         out += log10((counts.get(tokens[i], 0) + 1) / (rest[int(c[i]), int(m[i])] + 1))
@@ -249,6 +249,6 @@ def test_model_is_a_distribution():
     unknown = 0.0
     for k in range(lm.CLASSES):
         of_class, of_member = lm.Model.rows(context, np.array([k]))
-        p, q = (np.exp(x) / np.exp(x).sum() for x in (model.weights[0] + model.weights[of_class[:, 0]].sum(0), model.weights[of_member[:, 0]].sum(0)))
+        p, q = (np.exp(x) / np.exp(x).sum() for x in (model.weights[0] + model.weights[of_class[:, 0]].sum(0), model.weights[1 + k] + model.weights[of_member[:, 0]].sum(0)))
         unknown += (p[k] * q / 10 ** model.log_mass.reshape(lm.CLASSES, -1)[k]).sum()
     assert sum(known) + unknown == pytest.approx(1, rel=1e-4)
