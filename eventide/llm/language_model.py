@@ -272,16 +272,36 @@ def train(slices: DataFrame, cells: np.ndarray) -> Model:
 
 
 def _known(slices: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """part, codes, ns: of each slice the codes whose tokens are known, and their counts. Of a frequent token each slice has one row."""
+    """part, known: of each slice its known codes and their counts, packed. Of a frequent token each slice has one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, dictionary in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = _words(dictionary)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), part)), pa.array(np.arange(len(words), dtype=np.int32))], names=["token", "part", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), part)), pa.array(np.arange(len(words), dtype=np.int64))], names=["token", "part", "code"])
 
-    entries = slices.select("part", "dictionary").mapInArrow(tidy(run), "token string, part long, code int")
-    return entries.join(vocabulary, "token").groupBy("part").agg(F.collect_list(F.struct("code", "n")).alias("known"))  # a slice's words at most
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, code, n = (c.to_numpy() for c in b.columns)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(part))
+            bodies = [_packed(np.stack([code[x:y], n[x:y]])) for x, y in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(bodies, pa.binary())], names=["part", "known"])
+
+    entries = slices.select("part", "dictionary").mapInArrow(tidy(run), "token string, part long, code long")
+    found = entries.join(vocabulary, "token").select("part", "code", "n").sortWithinPartitions("part", "code")
+    return found.mapInArrow(tidy(pack), "part long, known binary").groupBy("part").agg(F.collect_list("known").alias("known"))  # a slice's words at most
+
+
+def _packed(pairs: np.ndarray) -> bytes:
+    """Codes, which rise, and counts: equal high bytes stand together."""
+    steps = np.stack([np.diff(pairs[0], prepend=0), pairs[1]]).astype(np.int64)
+    return zlib.compress(steps.ravel().view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = np.ascontiguousarray(np.frombuffer(zlib.decompress(body), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
+    return np.cumsum(steps), n
 
 
 def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -312,8 +332,9 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
                 lengths, codes = np.array(lengths.as_py()), _codes(body.as_py())
                 hashed, c, m = named(_words(dictionary.as_py()))
                 n = np.zeros(len(hashed), np.int64)
-                if known.is_valid:
-                    n[known.values.field("code").to_numpy()] = known.values.field("n").to_numpy()
+                for packed in known.as_py() or []:
+                    at, counts = _unpacked(packed)
+                    n[at] = counts
                 starts = np.cumsum(lengths) - lengths
                 counted = np.log10(n + 1.0)
                 base = np.add.reduceat(counted[codes], starts) - lengths * whole
