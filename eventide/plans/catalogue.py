@@ -470,4 +470,4 @@ def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.run_available(health.source_health(A.runs(events)))
 
 
-from eventide.plans import ingest, review  # noqa: E402, F401  they register their queries
+from eventide.plans import ingest, pages, review  # noqa: E402, F401  they register their queries

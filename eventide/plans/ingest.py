@@ -240,7 +240,7 @@ def promoted_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.promotions(A.scraper_logs(spark, sf_dir).select("source_id", "id", F.col("run_started_at").alias("at"), (F.col("status") == "success").alias("hit")))
 
 
-@query("""SELECT id, CASE id % 5 WHEN 0 THEN 'GBP:' || CAST(price AS VARCHAR) || '.0' WHEN 1 THEN 'EUR:1200.5|EUR:' || CAST(price AS VARCHAR) || '.0' WHEN 2 THEN 'USD:' || CAST(price AS VARCHAR) || '.0' WHEN 3 THEN 'GBP:' || CAST(price AS VARCHAR) || '.0' ELSE '' END AS amounts FROM pricing_tiers""")
+@query("""SELECT id, CASE id % 5 WHEN 0 THEN 'GBP:' || CAST(price AS VARCHAR) || '.0' WHEN 1 THEN 'EUR:1200.5|EUR:' || CAST(price AS VARCHAR) || '.0|EUR:' || CAST(price AS VARCHAR) || '.0' WHEN 2 THEN 'USD:' || CAST(price AS VARCHAR) || '.0' WHEN 3 THEN 'GBP:' || CAST(price AS VARCHAR) || '.0' ELSE '' END AS amounts FROM pricing_tiers""")
 def money_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each price within a sentence, written in one of five ways, the last of them without a currency."""
     p = F.col("price").cast("string")

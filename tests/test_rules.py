@@ -22,7 +22,7 @@ def test_links_of_filters():
 
 
 def test_amounts(spark):
-    cases = [("£1,250.50 or EUR 99, ¥5", "GBP 1250.5,EUR 99.0"), ("index.php 5, try 5, 5 TRY", "TRY 5.0"), ("500 eur", "EUR 500.0"), ("GBP", ""), ("12 May 1998", ""), ("US$20-30 USD", "USD 20.0,USD 30.0"), ("", ""), (None, None)]
+    cases = [("£1,250.50 or EUR 99, ¥5", "GBP 1250.5,EUR 99.0,JPY 5.0"), ("index.php 5, try 5, 5 TRY", "TRY 5.0"), ("500 eur", "EUR 500.0"), ("GBP", ""), ("12 May 1998", ""), ("US$20-30 USD", "USD 20.0,USD 30.0"), ("", ""), (None, None)]
     got, want = results(spark, cases, lambda c: F.array_join(F.transform(money.amounts(c), lambda x: F.concat_ws(" ", x["currency"], x["amount"].cast("string"))), ","))
     assert got == want
     got, want = results(spark, [("Refund less £25. Fee £30", 1), ("parking £5", 0), ("deposit\n£5", 1), ("", 0)], lambda c: F.size(money.fees(c)), "int")
