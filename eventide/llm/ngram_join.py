@@ -28,8 +28,6 @@ ORDERS = 4
 CHUNK_SETS, CHUNK_GRAMS = 1024, 1_000_000
 #: Sets of each component of a large cluster's chunk that are compared with those of the other chunks first.
 HEADS = 8
-#: Bits of the bitmap that tells which ids may be among some; its broadcast is 16 MB at most, however many ids.
-BITS = 1 << 27
 #: N-grams of a chunk whose overlaps are counted at a time.
 COLUMNS = 4096
 
@@ -129,12 +127,13 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _clusters(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, label: sets that may link have one label. A batch sends one row for each signature, so none is a hot key."""
-    rows = _signatures(docs, size, percent)
-    # rows that already are edges keep apart from each other; the others are dealt by signature, one for each batch at most
-    block = Window.partitionBy(F.coalesce("sig", F.xxhash64("name", "to")))
-    edges = rows.withColumn("low", F.when(F.col("sig").isNull(), F.col("to")).otherwise(F.min("name").over(block)))
-    return components(edges.filter("name <> low").select(F.col("name").alias("a"), F.col("low").alias("b")).distinct())
+    """node, label: sets that may link have one label. A batch sends one row for each signature; of a signature that many batches have, tasks send one smallest set each."""
+    rows = materialize(_signatures(docs, size, percent), "ngram-signatures")
+    named = rows.filter("sig IS NOT NULL")
+    shared = named.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high").select("sig", "low")
+    between = named.join(shared, "sig").filter("name <> low").select(F.col("name").alias("a"), F.col("low").alias("b"))
+    within = rows.filter("sig IS NULL").select(F.col("name").alias("a"), F.col("to").alias("b"))
+    return components(between.union(within).distinct())
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -176,50 +175,42 @@ def _chunks(own: DataFrame) -> DataFrame:
     return own.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
 
 
-def _among(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """Rows of docs whose id may be among own's: all of those, and few others while own has fewer ids than BITS."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
-    bits = own.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    at = F.bitmap_bit_position(bit).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = docs.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "bucket")
-    return found.withColumn("byte", byte).withColumn("at", at % 8).filter("(shiftright(byte, at) & 1) = 1").select(*docs.columns)
+def _members(docs: DataFrame, own: DataFrame, size: int) -> DataFrame:
+    """own's columns and grams of the sets of own (id, name, ...), from one row's text each. The only step in which texts are shuffled, once, however many ids there are."""
+    kept = [c for c in own.columns if c != "id"]
+    texts = docs.select("id", "text").join(own.hint("merge"), "id").select("text", *kept)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            name, rows, held = b.column(1 + kept.index("name")).to_pylist(), {}, 0
+            for k, grams in _sets(b.column(0), size):
+                if _name(grams) == name[k]:  # else another row that has the same id
+                    rows[k] = grams.tobytes()
+                    held += grams.nbytes
+                if rows and (held > AT_ONCE or k + 1 == b.num_rows):
+                    own = pa.array(list(rows))
+                    yield pa.RecordBatch.from_arrays([*(b.column(1 + i).take(own) for i in range(len(kept))), pa.array(list(rows.values()), pa.binary())], names=[*kept, "grams"])
+                    rows, held = {}, 0
+
+    return texts.mapInArrow(tidy(run), ", ".join([*(f"{c} {dict(own.dtypes)[c]}" for c in kept), "grams binary"]))
 
-def _compared(docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: pairs that hold together what links among own (id, name, label, lo, hi, los, his).
+
+def _units(members: DataFrame, own: DataFrame) -> DataFrame:
+    """label, lo, hi, side, name, grams: the sets of own (name, label, lo, hi, los, his) in their units.
 
     A set is in the unit (label, lo); or, with his, on side 1 of the units (label, lo, 0 to his) and, with its own hi,
-    on side 2 of the units (label, 0 to los, hi). Units are compared each by itself, side with side.
+    on side 2 of the units (label, 0 to los, hi).
     """
-    texts = _among(docs.select("id", "text"), own).join(own, "id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[*UNIT, "side", "name", "grams"])
+    ways = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    unit = lambda lo, hi, side: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.lit(side).alias("side"))
+    alone = F.array(unit(F.col("lo"), F.lit(-1), 3))
+    first = F.when(F.col("his") > 0, ways("his", lambda x: unit(F.col("lo"), x, 1))).otherwise(alone)
+    second = F.when((F.col("hi") >= 0) & (F.col("los") > 0), ways("los", lambda x: unit(x, F.col("hi"), 2))).otherwise(F.slice(alone, 1, 0))
+    return members.select("name", "grams").join(own.select("name", "label", F.inline(F.concat(first, second))), "name").select("label", "lo", "hi", "side", "name", "grams")
 
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        for b in batches:
-            name, label, lo, hi, los, his = (b.column(i).to_pylist() for i in range(1, 7))
-            rows: list[list] = [[], [], [], [], [], []]
-            held = 0
-            for k, grams in _sets(b.column(0), size):
-                if _name(grams) != name[k]:
-                    continue  # another row that has the same id
-                units = {(lo[k], x): 1 for x in range(his[k])} or {(lo[k], -1): 3}
-                if hi[k] >= 0:
-                    for x in range(los[k]):
-                        units[x, hi[k]] = units.get((x, hi[k]), 0) | 2
-                for (x, y), side in units.items():
-                    for c, v in zip(rows, (label[k], x, y, side, name[k], grams.tobytes()), strict=True):
-                        c.append(v)
-                    held += grams.nbytes
-                    if held > AT_ONCE:
-                        yield batch()
-                        rows, held = [[], [], [], [], [], []], 0
-            yield batch()
 
-    parts = texts.select("text", "name", "label", "lo", "hi", "los", "his").mapInArrow(tidy(cut), "label long, lo int, hi int, side int, name long, grams binary")
+def _compared(parts: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that hold together what links within units, side 1 with side 2 (3: both). Units are compared each by itself."""
     parts = parts.repartition(*UNIT).sortWithinPartitions(*UNIT)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +230,7 @@ def _compared(docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataF
                     if held:
                         yield done()
                     unit, held = (label, lo, hi), {}
-                held[name] = grams, side
+                held[name] = grams, side | held.get(name, (b"", 0))[1]  # on both sides where its chunk meets itself
         if held:
             yield done()
 
@@ -255,16 +246,19 @@ def _labels(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, p
     has been counted, and a group of copies costs in proportion to its size.
     """
     own = materialize(clusters.withColumnRenamed("node", "name").join(where, "name").select("id", "name", "label", "n"), "ngram-clusters")
-    own = own.join(_chunks(own), "label")
     spread = lambda n, salt=0: F.pmod(F.xxhash64("name", F.lit(salt)), F.col(n)).cast("int")
+    own = own.join(_chunks(own), "label").withColumn("lo", spread("chunks"))
+    members = materialize(_members(docs, own.drop("n"), size), "ngram-members")
     alone = [F.lit(-1).alias("hi"), F.lit(0).alias("los"), F.lit(0).alias("his")]
     # a set is in one unit only, so its link to the first of its component there is its group so far
-    found = _compared(docs, own.select("id", "name", "label", spread("chunks").alias("lo"), *alone), size, percent)
+    found = _compared(members.select("label", "lo", F.lit(-1).alias("hi"), F.lit(3).alias("side"), "name", "grams"), percent)
+    own = own.drop("lo")
     groups = materialize(own.join(found.select(F.col("a").alias("name"), F.col("b").alias("group")), "name", "left").withColumn("group", F.coalesce("group", "name")), "ngram-groups")
     done = groups.filter("chunks = 1").select("name", "group")
     groups = groups.filter("chunks > 1").withColumnRenamed("chunks", "los")
     if groups.isEmpty():
         return done
+    members = members.filter("chunks > 1")
 
     def merged(links: DataFrame) -> DataFrame:
         """The groups, those that links (a, b) join under one name."""
@@ -275,13 +269,13 @@ def _labels(docs: DataFrame, where: DataFrame, clusters: DataFrame, size: int, p
 
     place = F.row_number().over(Window.partitionBy("label", "group").orderBy(F.xxhash64("name"), "name"))
     some = materialize(groups.withColumn("place", place).filter(F.col("place") <= HEADS), "ngram-heads")
-    groups = merged(_compared(docs, some.join(_chunks(some), "label").select("id", "name", "label", spread("chunks", 1).alias("lo"), *alone), size, percent))
+    groups = merged(_compared(_units(members, some.join(_chunks(some), "label").select("name", "label", spread("chunks", 1).alias("lo"), *alone)), percent))
     largest = groups.groupBy("label", "group").agg(F.count(F.lit(1)).alias("sets")).groupBy("label").agg(F.max_by("group", F.struct("sets", "group")).alias("largest"))
     judged = groups.join(largest, "label").withColumn("rest", F.col("group") != F.col("largest"))
     rest = _chunks(judged.filter("rest")).withColumnRenamed("chunks", "his")
-    last = materialize(judged.join(rest, "label").select("id", "name", "label", spread("los").alias("lo"), F.when(F.col("rest"), spread("his")).otherwise(-1).alias("hi"), "los", "his"), "ngram-rest")
+    last = materialize(judged.join(rest, "label").select("name", "label", spread("los").alias("lo"), F.when(F.col("rest"), spread("his")).otherwise(-1).alias("hi"), "los", "his"), "ngram-rest")
     if not last.isEmpty():
-        groups = merged(_compared(docs, last, size, percent))
+        groups = merged(_compared(_units(members, last), percent))
     return done.union(groups.select("name", "group"))
 
 

@@ -147,11 +147,12 @@ def test_matching_statistics():
             assert min(got[first + k], len(t) - k) == want
 
 
-def test_bitmap_of_ids(spark):
-    """Every row of the ids asked for passes, whatever their type, and few others; none pass an empty table."""
-    for kind in ("id", "concat('x', id)"):
-        docs = spark.range(20000).selectExpr(f"{kind} AS id", "'t' AS text")
-        want = {r["id"] for r in spark.range(0, 20000, 7).selectExpr(f"{kind} AS id").collect()}
-        got = {r["id"] for r in ngram_join._among(docs, spark.range(0, 20000, 7).selectExpr(f"{kind} AS id")).collect()}
-        assert want <= got and len(got) < 1.01 * len(want)
-        assert ngram_join._among(docs, docs.filter("false")).count() == 0
+def test_members_hold_the_sets_of_their_names(spark):
+    """Of rows that share an id only those with the named set count; other rows and null ids are left out."""
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "i j k l"), (None, "a b c d"), (3, None)], "id long, text string")
+    rows = ngram_join._scan(docs, 3).filter("id = 1 AND n > 0").select("id", "name")
+    kept = rows.withColumn("label", F.lit(7).cast("long")).collect()
+    for own in kept:
+        got = ngram_join._members(docs, spark.createDataFrame([own], "id long, name long, label long"), 3).collect()
+        assert [(r["name"], r["label"], len(r["grams"])) for r in got] == [(own["name"], 7, 16)]
+    assert len({r["name"] for r in kept}) == 2
