@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import clean_text, materialize, tidy
+from eventide.llm.common import arrow_batches, clean_text, materialize, tidy
 from eventide.llm.words import TERM, byte_slices, runs
 
 AT_ONCE = 8_000_000
@@ -201,7 +201,8 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     groups = materialize(docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")), "divergence-groups")
     counts = _counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = counts.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).filter(F.col("docs") >= LEAST_DOCUMENTS)
-    kept = materialize(kept.select("lang", "term", "source", "n"), "divergence-counts")
+    with arrow_batches(docs.sparkSession, AT_ONCE):
+        kept = materialize(kept.select("lang", "term", "source", "n"), "divergence-counts")
     shards = kept.count() // SHARD_COUNTS + 1
     vectors = materialize(_vectors(kept.withColumn("shard", F.pmod(F.xxhash64("term", "lang"), F.lit(shards)))), "divergence-vectors")
 

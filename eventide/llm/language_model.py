@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import materialize, mixed, powers, prefix_sums, tidy
+from eventide.llm.common import arrow_batches, materialize, mixed, powers, prefix_sums, tidy
 from eventide.llm.words import WORD, byte_slices, runs
 
 #: Bytes of text in a slice, about; tokens in a gradient step; rounds, in each of which other slices are learned from.
@@ -316,7 +316,8 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     spark = docs.sparkSession
     held = ~training(id_col)
     docs = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    slices = materialize(_slices(docs), "lm-slices")
+    with arrow_batches(spark, SLICE):
+        slices = materialize(_slices(docs), "lm-slices")
     vocabulary = materialize(_counts(slices), "lm-vocabulary")
     total, words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     cells = _cells(vocabulary)
