@@ -127,13 +127,29 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _clusters(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, label: sets that may link have one label. A batch sends one row for each signature; of a signature that many batches have, tasks send one smallest set each."""
-    rows = materialize(_signatures(docs, size, percent), "ngram-signatures")
-    named = rows.filter("sig IS NOT NULL")
-    shared = named.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high").select("sig", "low")
-    between = named.join(shared, "sig").filter("name <> low").select(F.col("name").alias("a"), F.col("low").alias("b"))
-    within = rows.filter("sig IS NULL").select(F.col("name").alias("a"), F.col("to").alias("b"))
-    return components(between.union(within).distinct())
+    """node, label: sets that may link have one label. A batch sends one row for each signature; those of a signature come one after the other and are linked with the first, none of them held."""
+    rows = _signatures(docs, size, percent)
+    # rows that already are edges are dealt apart from each other
+    dealt = rows.repartition(F.coalesce("sig", F.xxhash64("name", "to"))).sortWithinPartitions("sig")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, 0  # the signature before, and the first set that has it
+        for b in batches:
+            edge = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            name = b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(name[edge]), b.column(2).drop_null()], names=["a", "b"])
+            sig, name = b.column(0).drop_null().to_numpy(), name[~edge]
+            if len(sig):
+                starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                heads = name[starts].copy()
+                if last is not None and sig[0] == last:
+                    heads[0] = first
+                to = np.repeat(heads, np.diff(np.append(starts, len(sig))))
+                last, first = int(sig[-1]), int(heads[-1])
+                apart = name != to
+                yield pa.RecordBatch.from_arrays([pa.array(name[apart]), pa.array(to[apart])], names=["a", "b"])
+
+    return components(dealt.mapInArrow(tidy(link), "a long, b long").distinct())
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
