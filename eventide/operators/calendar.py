@@ -23,6 +23,14 @@ def month_matrix(spark: SparkSession, year: int, month: int) -> DataFrame:
     return spark.range(42).select((F.col("id") / 7).cast("int").alias("week"), (F.col("id") % 7).cast("int").alias("column"), F.date_add(monday, F.col("id").cast("int")).alias("day")).withColumns({"in_month": (F.month("day") == month) & (F.year("day") == year), "weekend": F.col("column") >= 5})
 
 
+def on_days(events: DataFrame, days: DataFrame) -> DataFrame:
+    """days with events: how many are on, on each of the days (a bounded list, such as a month's grid). Events are cut to the days asked for before they are spread over them."""
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    own = spans(events).filter((F.col("first") <= last) & (F.col("last") >= first))
+    each = own.select(F.explode(F.sequence(F.greatest("first", F.lit(first)), F.least("last", F.lit(last)))).alias("day"))
+    return days.join(each.groupBy("day").agg(F.count(F.lit(1)).alias("events")), "day", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+
+
 def agenda(events: DataFrame, as_of: str) -> DataFrame:
     """month, events, first_id: what is on or to come, by the month it starts in."""
     rows = spans(events).filter(F.col("last") >= day(as_of))

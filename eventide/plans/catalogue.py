@@ -360,9 +360,11 @@ def duplicate_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.duplicate_candidates(rows, rows)
 
 
-@query("""SELECT CAST(i // 7 AS INT) AS week, CAST(i % 7 AS INT) AS "column", DATE '1998-06-01' + CAST(i AS INT) AS day, month(DATE '1998-06-01' + CAST(i AS INT)) = 6 AS in_month, i % 7 >= 5 AS weekend FROM range(42) t(i)""")
+@query("""SELECT CAST(i // 7 AS INT) AS week, CAST(i % 7 AS INT) AS "column", DATE '1998-06-01' + CAST(i AS INT) AS day, month(DATE '1998-06-01' + CAST(i AS INT)) = 6 AS in_month, i % 7 >= 5 AS weekend,
+(SELECT count(*) FROM directory WHERE start_date <= DATE '1998-06-01' + CAST(i AS INT) AND greatest(start_date, coalesce(end_date, start_date)) >= DATE '1998-06-01' + CAST(i AS INT)) AS events FROM range(42) t(i)""")
 def month_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.month_matrix(spark, 1998, 6)
+    """The month's grid, and how many events are on each of its days."""
+    return calendar.on_days(A.conferences(spark, sf_dir).filter("NOT archived"), calendar.month_matrix(spark, 1998, 6))
 
 
 SPANS_SQL = ", spans AS (SELECT id, start_date AS first, greatest(start_date, coalesce(end_date, start_date)) AS last FROM directory WHERE start_date IS NOT NULL)"

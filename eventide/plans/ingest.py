@@ -24,10 +24,14 @@ def _said(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-@query(f"""SELECT * FROM (VALUES ('this-month', {DAY}, DATE '1998-06-30'), ('next-3-months', {DAY}, DATE '1998-08-31'), ('this-year', {DAY}, DATE '1998-12-31')) t(preset, first, last)""")
+@query(f"""SELECT preset, first, last, (SELECT count(*) FROM directory WHERE start_date <= last AND coalesce(end_date, start_date) >= first) AS events
+FROM (VALUES ('this-month', {DAY}, DATE '1998-06-30'), ('next-3-months', {DAY}, DATE '1998-08-31'), ('this-year', {DAY}, DATE '1998-12-31')) t(preset, first, last)""")
 def date_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(p, *P.preset_days(p, AS_OF)) for p in ("this-month", "next-3-months", "this-year")]
-    return spark.createDataFrame(rows, "preset string, first string, last string").select("preset", F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"))
+    """The days that each preset stands for, and the events on in them, counted in one pass."""
+    presets = [(p, *(F.lit(d).cast("date") for d in P.preset_days(p, AS_OF))) for p in ("this-month", "next-3-months", "this-year")]
+    on = lambda first, last: F.count_if((F.col("start_date") <= last) & (F.coalesce("end_date", "start_date") >= first))
+    counted = A.conferences(spark, sf_dir).filter("NOT archived").agg(*(on(first, last).alias(p) for p, first, last in presets))
+    return counted.select(F.inline(F.array(*(F.struct(F.lit(p).alias("preset"), first.alias("first"), last.alias("last"), F.col(f"`{p}`").alias("events")) for p, first, last in presets))))
 
 
 @query("""SELECT id, name, created_on, price_from, total, place FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY created_on DESC, id) AS place FROM directory

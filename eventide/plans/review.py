@@ -178,9 +178,14 @@ def _societies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOCIETIES, "code string, name string, kind string, country string")
 
 
-@query("SELECT * FROM (VALUES ('works', 'BUILDING,Machinery'), ('home', 'FURNITURE,household'), ('sea', '')) t(slug, raws)")
+@query("""SELECT slug, CASE slug WHEN 'works' THEN 'BUILDING,Machinery' WHEN 'home' THEN 'FURNITURE,household' ELSE '' END AS raws, count(*) AS events FROM (
+  SELECT CASE lower(specialty) WHEN 'building' THEN 'works' WHEN 'machinery' THEN 'works' WHEN 'furniture' THEN 'home' WHEN 'household' THEN 'home' ELSE lower(specialty) END AS slug FROM conferences) GROUP BY 1""")
 def expanded_specialties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.expand(spark.createDataFrame([("works",), ("home",), ("sea",)], "slug string"), _taxonomy(spark))
+    """The parents of all events' specialties, or these themselves where the taxonomy has none, with what each stands for and its events."""
+    raws = _taxonomy(spark).select(F.lower("raw").alias("key"), "parent")
+    events = A.conferences(spark, sf_dir).groupBy(F.lower("specialty").alias("key")).agg(F.count(F.lit(1)).alias("events"))
+    named = events.join(raws, "key", "left").groupBy(F.coalesce("parent", "key").alias("slug")).agg(F.sum("events").alias("events"))
+    return taxonomy.expand(named.select("slug"), _taxonomy(spark)).join(named, "slug")
 
 
 @query(TAXONOMY_SQL + """SELECT user_id, CASE WHEN specialty IN ('building', 'machinery') THEN 'BUILDING,Machinery' WHEN specialty IN ('furniture', 'household') THEN 'FURNITURE,household' ELSE '' END AS raws FROM profiles""")
