@@ -12,6 +12,7 @@ from eventide.functions import texts as T
 from eventide.operators import alerts, calendar, community, directory, lifecycle, preview, quality
 from eventide.sources import adapter as A
 from eventide.sources.adapter import AS_OF, WITH_SQL
+from eventide.streaming import alerts as stream_alerts
 from eventide.streaming import health
 
 FLAGSHIP = "directory_page_date"
@@ -472,4 +473,14 @@ def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.run_available(health.source_health(A.runs(events)))
 
 
+@query(ORACLE_SQL["specialty_alerts"].removeprefix(WITH_SQL))
+def stream_specialty_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events read as a stream, to its present end; what all batches told each user."""
+    orders = spark.readStream.schema(A.raw(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parque[t]")
+    profiles = A.profiles(spark, sf_dir)
+    place = stream_alerts.new_place(profiles, "alerts")
+    stream_alerts.tell(A.conferences(spark, sf_dir, orders).filter("NOT archived"), profiles, AS_OF, place)
+    return stream_alerts.totals(stream_alerts.told(profiles, place))
+
+
 from eventide.plans import ingest, pages, review  # noqa: E402, F401  they register their queries

@@ -31,8 +31,9 @@ def _choice(key: Column, *values: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
 
 
-def conferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = raw(spark, sf_dir, "orders")
+def conferences(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """orders: those read in another way, such as a stream, instead of the table."""
+    orders = raw(spark, sf_dir, "orders") if orders is None else orders
     customer, nation, region = (raw(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     n_sources = raw(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
