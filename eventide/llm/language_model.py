@@ -78,6 +78,11 @@ def _words(dictionary: bytes) -> list[str]:
     return ["", *dictionary.decode().split(" ")] if dictionary else [""]
 
 
+def _body(dictionary: bytes) -> bytes:
+    """The words by code with spaces between, as ``named`` takes them; the first is the end's."""
+    return b" " + dictionary if dictionary else b""
+
+
 def named(words: list[str] | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, class and member of words."""
     body = words if isinstance(words, bytes) else " ".join(words).encode()
@@ -232,7 +237,7 @@ def train(slices: DataFrame, cells: np.ndarray) -> Model:
             for b in batches:
                 for *of, dictionary in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     codes, lengths = _learned_from(*of)
-                    own.learn(*(x[codes] for x in named(_words(dictionary))), lengths, touched)
+                    own.learn(*(x[codes] for x in named(_body(dictionary))), lengths, touched)
             task = TaskContext.get().partitionId()
             for k in range(0, ROWS, BLOCK):
                 if (rows := k + np.flatnonzero(touched[k : k + BLOCK])).size:
@@ -331,7 +336,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
             for k in range(b.num_rows):
                 ids, held, lengths, body, dictionary, known = (b.column(i)[k] for i in range(6))
                 lengths, codes = np.array(lengths.as_py()), _codes(body.as_py())
-                hashed, c, m = named(_words(dictionary.as_py()))
+                hashed, c, m = named(_body(dictionary.as_py()))
                 n = np.zeros(len(hashed), np.int64)
                 for packed in known.as_py() or []:
                     at, counts = _unpacked(packed)
