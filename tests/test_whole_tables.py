@@ -36,3 +36,10 @@ def test_alerts_of_every_user(spark):
     got = [tuple(r) for r in catalogue.QUERIES["specialty_alerts_all"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
     assert {tuple(r) for r in catalogue.QUERIES["specialty_alerts"](spark, SF).collect()} == want
+
+
+def test_pairs_of_duplicates_are_not_shuffled(spark):
+    for name in ("duplicate_candidates", "duplicate_candidates_all"):
+        pairs = catalogue.QUERIES[name](spark, SF)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Aggregate" in line and "event_id" in line]
