@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions import money, texts
+from eventide.sources.shared import written
 
 # Cells without a price, times that a price holds for, words of groups and headings, and words that are no acronyms.
 NO_PRICE = r"(?:-+|–|—|n/?a|free|tb[ac]|incl\.?|included)"
@@ -36,16 +37,21 @@ _MARKED = rf"(?:(?:{money.TOKEN}\s{{0,4}}){{1,2}}{money.FIGURE}{money.NO_CENTS}?
 def cells(line: Column) -> Column:
     """The prices of a line that holds nothing else: array of structs of amount and currency, both null for a cell without a price; null for any other line."""
 
-    def read(pattern: str) -> Column:
-        said = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-        rest = F.regexp_replace(line, pattern, "")
-        price = lambda x: F.get(money.found(x), 0)
-        none = F.struct(F.lit(None).cast("double").alias("amount"), F.lit(None).cast("string").alias("currency"))
-        out = F.transform(said, lambda x: F.when(x.rlike(rf"(?i)^{NO_PRICE}$"), none).otherwise(money._once(price(x), lambda p: F.when(p["high"].isNull() & p["currency"].isNotNull(), F.struct(p["amount"].alias("amount"), p["currency"].alias("currency"))))))
-        return F.when((F.size(said) > 0) & rest.rlike(r"^[\s|/]*$") & F.forall(out, lambda x: x.isNotNull()), out)
+    none = F.struct(F.lit(None).cast("double").alias("amount"), F.lit(None).cast("string").alias("currency"))
+
+    def price(said: Column) -> Column:
+        known = lambda p: F.when(p["high"].isNull() & p["currency"].isNotNull(), F.struct(p["amount"].alias("amount"), p["currency"].alias("currency")))
+        return F.when(said.rlike(rf"(?i)^{NO_PRICE}$"), none).otherwise(money._once(F.get(money.found(said), 0), known))
+
+    def said(pattern: str) -> Column:
+        """The line's cells; whether it begins with one is looked at first, whether it holds anything else next."""
+        alone = line.rlike(rf"^[\s|/]*(?:{pattern})") & F.regexp_replace(line, pattern, "").rlike(r"^[\s|/]*$")
+        return F.when(alone, F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
 
     suffixed = line.rlike(rf"^[\s|/]*(?:(?:{_SUFFIXED})[\s|/]*)+$")
-    return F.when(line.rlike(r"\d") | line.rlike(rf"(?i)^[\s|/]*{NO_PRICE}(?:[\s|/]+{NO_PRICE})*[\s|/]*$"), F.when(suffixed, read(_SUFFIXED)).otherwise(read(_CELL)))
+    may = line.rlike(r"\d") | line.rlike(rf"(?i)^[\s|/]*{NO_PRICE}(?:[\s|/]+{NO_PRICE})*[\s|/]*$")
+    prices = F.transform(F.when(may, F.when(suffixed, said(_SUFFIXED)).otherwise(said(_CELL))), price)
+    return money._once(prices, lambda all_of: F.when((F.size(all_of) > 0) & F.forall(all_of, lambda x: x.isNotNull()), all_of))
 
 
 def is_time(line: Column) -> Column:
@@ -72,16 +78,33 @@ def lines(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") ->
     return pages.select(F.col(id_col).alias("id"), F.posexplode(F.filter(split, lambda x: ~x.rlike(r"^\s*$"))).alias("at", "line"))
 
 
-def _records(rows: DataFrame) -> DataFrame:
-    """id, at, line, head, time, cells: each line that is not prices alone, with the prices on it and on the lines of prices below it."""
-    page = Window.partitionBy("id").orderBy("at")
+def _read(rows: DataFrame) -> DataFrame:
+    """id, at, line, cells, tail, parts, priced, row: each line with the prices that it holds alone, behind something else, or between tabs.
+
+    Every line is read once and written to the shared folder, as all sorts of grids begin with it.
+    """
     # where prices begin on a line: at its first figure with a currency, before it or, all along the line, behind it
     none = rf"(?i:(?<![^\s|/]){NO_PRICE}(?=[\s|/]|$))"
     begins = [F.regexp_instr("line", F.lit(rf"(?:{none}[\s|/]+)*(?:{one})(?:[\s|/]*(?:{one}|{none}))*[\s|/]*$")) for one in (_MARKED, _SUFFIXED)]
-    rows = rows.withColumn("cells", cells(F.col("line")))
-    open_line = F.col("cells").isNull() & F.col("line").rlike(r"\d")
-    tries = F.transform(F.array(*begins), lambda at: F.when(open_line & (at > 1), money._once(cells(F.substr("line", at)), lambda c: F.when(c.isNotNull(), F.struct(at.alias("at"), c.alias("cells"))))))
-    rows = rows.withColumn("tail", F.get(F.array_compact(tries), 0))
+    parts = F.filter(F.transform(F.split("line", "\t"), lambda p: F.trim(p)), lambda p: p != "")
+    tabbed = (F.size(parts) > 2) & (F.length(parts[0]) <= 80) & parts[0].rlike("[A-Za-z]{3}") & F.col("line").contains("\t")
+    of_tabs = F.when(tabbed, F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " "))
+
+    def tail(texts: Column) -> Column:
+        """Of the two places the first from which there are prices alone."""
+        tries = F.transform(texts, lambda at: F.when(at > 1, money._once(cells(F.substr("line", at)), lambda c: F.when(c.isNotNull(), F.struct(at.alias("at"), c.alias("cells"))))))
+        return F.get(F.array_compact(tries), 0)
+
+    read = rows.select("id", "at", "line", parts.alias("parts"), of_tabs.alias("of_tabs"), cells(F.col("line")).alias("cells"))
+    behind = F.when(F.col("cells").isNull() & F.col("line").rlike(r"\d"), F.array_distinct(F.array(*begins)))
+    read = read.select("id", "at", "line", "cells", "parts", tail(behind).alias("tail"), cells(F.col("of_tabs")).alias("priced"))
+    row = (F.size("priced") == F.size("parts") - 1) & (F.size(F.filter("priced", lambda c: c["amount"].isNotNull())) > 1)
+    return written(read.withColumn("row", F.coalesce(F.when(row, cells(F.get("parts", 0)).isNull()), F.lit(False))), "fee-lines")
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """id, at, line, head, time, cells: each line that is not prices alone, with the prices on it and on the lines of prices below it."""
+    page = Window.partitionBy("id").orderBy("at")
     head = F.when(F.col("tail").isNotNull(), F.regexp_replace(F.left("line", F.col("tail.at") - 1), r"^[ :\-–|\t]+|[ :\-–|\t]+$", "")).otherwise(F.col("line"))
     rows = rows.withColumns({"head": head, "inline": F.col("tail.cells")})
     rows = rows.withColumn("own", F.sum(F.when(F.col("cells").isNull(), 1).otherwise(0)).over(page))
@@ -147,12 +170,8 @@ def _by_columns(records: DataFrame) -> DataFrame:
 
 def _by_tabs(rows: DataFrame) -> DataFrame:
     """Tiers of tabbed grids: a label and a price for each time, whose names, and days after them, stand on the lines above."""
-    parts = F.filter(F.transform(F.split("line", "\t"), lambda p: F.trim(p)), lambda p: p != "")
-    t = rows.withColumn("parts", parts)
+    t = rows.select("id", "at", "parts", F.col("priced").alias("cells"), "row")
     label = F.get("parts", 0)
-    priced = F.when((F.size("parts") > 2) & (F.length(label) <= 80) & label.rlike("[A-Za-z]{3}") & F.col("line").contains("\t"), cells(F.array_join(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), " ")))
-    t = t.withColumns({"cells": priced})
-    t = t.withColumn("row", F.coalesce((F.size("cells") == F.size("parts") - 1) & (F.size(F.filter("cells", lambda c: c["amount"].isNotNull())) > 1) & cells(label).isNull(), F.lit(False)))
     first = t.filter("row").groupBy("id").agg(F.min("at").alias("first"))
     t = t.join(first, "id")
     above = t.filter((F.col("at") < F.col("first")) & (F.col("at") >= F.col("first") - ABOVE)).groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "parts"))), lambda x: x["parts"])).alias("said"))
@@ -175,7 +194,7 @@ def tiers(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") ->
     without a price, or with an implausible one gives none. Null and empty texts, and texts without a grid, have no
     tiers. Nothing is cut off after so many lines or tiers.
     """
-    rows = lines(pages, id_col, text_col)
+    rows = _read(lines(pages, id_col, text_col))
     records = _records(rows.repartition("id"))
     sorts = [_by_rows(records), _by_columns(records), _by_tabs(rows)]
     each = None
