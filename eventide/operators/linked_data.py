@@ -38,8 +38,8 @@ def _items(rows: DataFrame, column: str) -> DataFrame:
     """A row for each element of an array; any other value stays as it is. The order within the page is kept in place."""
     arrays, others = rows.filter(_sort(F.col(column)) == "array"), rows.filter(_sort(F.col(column)) != "array")
     kept = [F.col(c) for c in rows.columns if c not in (column, "place")]
-    elements = F.explode(F.transform(F.variant_get(column, "$", "array<variant>"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))))
-    return arrays.select(*kept, "place", elements.alias("e")).select(*kept, F.concat("place", F.array("e.i")).alias("place"), F.col("e.v").alias(column)).unionByName(others)
+    elements = F.explode_outer(F.transform(F.variant_get(column, "$", "array<variant>"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))))
+    return arrays.select(*kept, "place", elements.alias("e")).filter("e IS NOT NULL").select(*kept, F.concat("place", F.array("e.i")).alias("place"), F.col("e.v").alias(column)).unionByName(others)
 
 
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -49,8 +49,9 @@ def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     round for each level of nesting, until nothing is left to open; each round is written to the shared folder.
     """
     plain = reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), REFERENCES.items(), F.col("block"))
-    blocks = pages.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(SCRIPT), F.lit(1))).alias("i", "block"))
-    front = blocks.select("id", F.array("i").alias("place"), F.try_parse_json(F.coalesce(F.when(F.try_parse_json("block").isNotNull(), F.col("block")), plain)).alias("node")).filter("node IS NOT NULL")
+    # an outer explode, and no filter on what is parsed: Spark would do both twice to test them. Blocks that are no JSON go with the first round
+    blocks = pages.select(F.col(id_col).alias("id"), F.posexplode_outer(F.regexp_extract_all(F.col(html_col), F.lit(SCRIPT), F.lit(1))).alias("i", "block")).filter("block IS NOT NULL")
+    front = blocks.select("id", F.array("i").alias("place"), F.coalesce(F.try_parse_json("block"), F.try_parse_json(plain)).alias("node"))
     found = []
     while True:
         front = written(front, "linked-data")
@@ -82,12 +83,13 @@ def tiers(events: DataFrame, id_col: str = "page_id", default_currency: str | No
     no tier. A label is the offer's name, category or description, up to 70 characters, else Free or Standard. Equal
     tiers of an event are one.
     """
-    offers = events.select(F.col(id_col).alias("id"), F.col("place").alias("event"), "place", _part(F.col("node"), "offers").alias("offer")).filter("offer IS NOT NULL")
+    offers = written(events.select(F.col(id_col).alias("id"), F.col("place").alias("event"), "place", _part(F.col("node"), "offers").alias("offer")), "offers")
     o = _items(offers, "offer").filter(_sort(F.col("offer")) == "object")
     price = texts.parse_number(F.coalesce(_text(F.col("offer"), "price"), _text(F.col("offer"), "lowPrice")))
     code = F.coalesce(money.currency(_text(F.col("offer"), "priceCurrency")), F.lit(default_currency).cast("string"))
     said = F.coalesce(*(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(_text(F.col("offer"), k), "<[^>]*>", " "), r"\s+", " ")), F.lit("")) for k in ("name", "category", "description")))
-    o = o.withColumns({"price": price, "currency": code, "said": said}).filter("price IS NOT NULL AND currency IS NOT NULL")
+    # read once and written before anything is filtered by it
+    o = written(o.select("id", "event", "place", price.alias("price"), code.alias("currency"), said.alias("said")), "offers-read").filter("price IS NOT NULL AND currency IS NOT NULL")
     name = F.coalesce("said", F.when(F.col("price") == 0, "Free").otherwise("Standard"))
     o = o.select("id", "event", "place", F.concat(F.lit("Registration · "), F.left(name, F.lit(70))).alias("label"), "price", "currency", name.rlike(r"(?i)early[\s-]?bird").alias("early"))
     first = F.row_number().over(Window.partitionBy("id", "event", "label", "price", "currency").orderBy("place"))
