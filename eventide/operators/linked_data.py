@@ -34,12 +34,17 @@ def _sort(v: Column) -> Column:
     return F.when(said.startswith("ARRAY"), "array").when(said.startswith("OBJECT"), "object").otherwise("scalar")
 
 
+def _elements(arrays: DataFrame, column: str) -> DataFrame:
+    """A row for each element of an array. The order within the page is kept in place."""
+    kept = [F.col(c) for c in arrays.columns if c not in (column, "place")]
+    elements = F.explode_outer(F.transform(F.variant_get(column, "$", "array<variant>"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))))
+    return arrays.select(*kept, "place", elements.alias("e")).filter("e IS NOT NULL").select(*kept, F.concat("place", F.array("e.i")).alias("place"), F.col("e.v").alias(column))
+
+
 def _items(rows: DataFrame, column: str) -> DataFrame:
-    """A row for each element of an array; any other value stays as it is. The order within the page is kept in place."""
+    """A row for each element of an array; any other value stays as it is."""
     arrays, others = rows.filter(_sort(F.col(column)) == "array"), rows.filter(_sort(F.col(column)) != "array")
-    kept = [F.col(c) for c in rows.columns if c not in (column, "place")]
-    elements = F.explode_outer(F.transform(F.variant_get(column, "$", "array<variant>"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))))
-    return arrays.select(*kept, "place", elements.alias("e")).filter("e IS NOT NULL").select(*kept, F.concat("place", F.array("e.i")).alias("place"), F.col("e.v").alias(column)).unionByName(others)
+    return _elements(arrays, column).unionByName(others)
 
 
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -54,15 +59,15 @@ def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     front = blocks.select("id", F.array("i").alias("place"), F.coalesce(F.try_parse_json("block"), F.try_parse_json(plain)).alias("node"))
     found = []
     while True:
-        front = written(front, "linked-data")
+        # told once a node: it goes through all of it
+        front = written(front.withColumn("sort", _sort(F.col("node"))), "linked-data").filter("sort <> 'scalar'")
         if front.isEmpty():
             break
-        objects = front.filter(_sort(F.col("node")) == "object")
+        objects = front.filter("sort = 'object'").drop("sort")
         found.append(objects)
         below = F.explode(F.array(*(F.struct(F.lit(k).alias("i"), _part(F.col("node"), key).alias("v")) for k, key in enumerate(KEYS))))
         deeper = objects.select("id", "place", below.alias("e")).filter("e.v IS NOT NULL").select("id", F.concat("place", F.array("e.i")).alias("place"), F.col("e.v").alias("node"))
-        opened = front.filter(_sort(F.col("node")) == "array")
-        front = _items(opened, "node").unionByName(deeper).filter(_sort(F.col("node")) != "scalar")
+        front = _elements(front.filter("sort = 'array'").drop("sort"), "node").unionByName(deeper)
     if not found:
         return front.select("id", "place", "node")
     return reduce(DataFrame.unionByName, found)
