@@ -2,8 +2,9 @@
 
 The order is that of the n-grams' hashes, and it is cut into fragments. Two sets that link differ in so few n-grams that
 they agree on a whole fragment, if there are more fragments than differences; so equal fragments name the clusters of
-sets that may link. In a cluster the partial overlaps of its pairs are counted in fragments of the order, one after the
-other, and summed for each pair.
+sets that may link. Fragments of common n-grams alone, as repeated lines have them, would chain sets that share little
+else into ever larger clusters; they are used only where a set has too few others. In a cluster the partial overlaps of
+its pairs are counted in fragments of the order, one after the other, and summed for each pair.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from eventide.llm.components import components, roots
 AT_ONCE = 1_000_000
 #: The numbers of fragments in use grow by this ratio.
 LADDER = sorted({int(np.ceil(1.5**k)) for k in range(1, 60)})
-#: A fragment with fewer n-grams says little and names no cluster; sets with too many such are cut in other orders too.
+#: A fragment with fewer uncommon n-grams says little and names no cluster, unless a set has too few others.
 THICK = 2
-ORDERS = 4
+#: Which fragments name clusters, as far as a set needs them: of which order, how many levels finer, and up to which rank.
+STEPS = [(0, 0, 0), (1, 0, 0), (0, 0, 1), (0, 1, 1), (0, 2, 1), *((order, 0, 2) for order in range(4))]
+#: An n-gram is common if OFTEN or more sets of a SHARE-th part of all have it; so many are told to each task at most, the most frequent.
+SHARE, OFTEN, MOST_COMMON = 16, 4, 1 << 19
+NONE = np.zeros(0, np.uint64)
 #: Sets of a cluster that are compared in one task, and their n-grams together.
 CHUNK_SETS, CHUNK_GRAMS = 1024, 1_000_000
 #: Sets of each component of a large cluster's chunk that are compared with those of the other chunks first.
@@ -71,36 +76,74 @@ def _level(n: int, percent: int) -> int:
     return int(np.searchsorted(LADDER, need))
 
 
-def fragments(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set's fragments. Two sets that link have one in common, or are equal."""
+def _common(docs: DataFrame, where: DataFrame, size: int) -> np.ndarray:
+    """Common n-grams in ascending order: those of lines that many texts repeat, or of large groups of copies.
+
+    They are counted on a part of the sets (where: id, name), each of them once. They only say which fragments name
+    clusters first: whichever they are, sets that link come into one cluster.
+    """
+    part = lambda df: df.filter(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for grams in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(grams, np.int64))], names=["gram"])
+
+    members = _members(part(docs), part(where).select("id", "name"), size)
+    times = members.select("grams").mapInArrow(tidy(run), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    most = times.filter(F.col("times") >= OFTEN).orderBy(F.desc("times"), "gram").limit(MOST_COMMON).select("gram").toArrow()
+    return np.sort(most.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _cut(own: np.ndarray, usual: np.ndarray, level: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, rank and place of each fragment that is not empty. Rank 0: it has THICK uncommon n-grams; 1: one at least; 2: THICK of any sort; 3: fewer."""
+    part = ((own >> np.uint64(32)) * np.uint64(LADDER[level]) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    size = np.diff(np.append(starts, len(own)))
+    rare = size - np.add.reduceat(usual, starts)
+    rank = np.where(rare >= THICK, 0, np.where(rare > 0, 1, np.where(size >= THICK, 2, 3)))
+    body = np.add.reduceat(mixed(own + np.uint64(level)), starts)
+    place = (part[starts] + (level << 40) + (order << 36)).astype(np.uint64)
+    return mixed(mixed(place) ^ body), rank, part[starts]
+
+
+def fragments(grams: np.ndarray, percent: int, common: np.ndarray = NONE) -> np.ndarray:
+    """Signatures of a set's fragments. Two sets that link have one in common, or are equal, whatever n-grams are common (sorted)."""
     n = len(grams)
     off = _differences(n, percent)
     if not off:
         return np.zeros(0, np.uint64)  # it links with equal sets only
-    out = []
+    at = np.searchsorted(common, grams)
+    usual = (common[np.minimum(at, len(common) - 1)] == grams).astype(np.int64) if len(common) else np.zeros(n, np.int64)
+    orders, out = {0: (grams, usual)}, []
     for level in range(_level(n, percent), _level(n * 100 // percent, percent) + 1):  # also what a larger partner uses
-        f = LADDER[level]
-        for order in range(ORDERS):
-            own = np.sort(mixed(grams ^ np.uint64(order * 0x9E3779B9))) if order else grams
-            part = ((own >> np.uint64(32)) * np.uint64(f) >> np.uint64(32)).astype(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            size = np.diff(np.append(starts, n))
-            # the last order keeps the thin and empty fragments, so that nothing is lost
-            thick = size >= (THICK if order + 1 < ORDERS else 1)
-            body = np.add.reduceat(mixed(own + np.uint64(level)), starts)
-            place = (part[starts] + (level << 40) + (order << 36)).astype(np.uint64)
-            out.append(mixed(mixed(place) ^ body)[thick])
-            if f - thick.sum() < f - off:
+        cuts, said = {}, {}
+        for order, finer, most in STEPS:
+            if order not in orders:
+                own = mixed(grams ^ np.uint64(order * 0x9E3779B9))
+                by = np.argsort(own)
+                orders[order] = own[by], usual[by]
+            if (order, finer) not in cuts:
+                cuts[order, finer] = _cut(*orders[order], level + finer, order)
+            sig, rank, part = cuts[order, finer]
+            out.append(sig[(rank > said.get((order, finer), -1)) & (rank <= most)])
+            said[order, finer] = most
+            # a difference is in one fragment only, so of more fragments than differences one agrees; and a partner that
+            # had enough after an earlier step agrees with this set there
+            if np.count_nonzero(rank <= most) > off:
                 break
-            if order + 1 == ORDERS and len(starts) < f:
-                empty = np.setdiff1d(np.arange(f), part[starts])
+        else:  # the thin and empty fragments of the last order too, so that nothing is lost
+            out.append(sig[rank > most])
+            if len(part) <= off:
+                empty = np.setdiff1d(np.arange(LADDER[level]), part)
                 out.append(mixed(mixed((empty + (level << 40) + (15 << 36)).astype(np.uint64))))
     return np.concatenate(out)
 
 
-def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray = NONE) -> DataFrame:
     """sig, name: each signature of a batch's sets, with the smallest set that a set with it reaches within the batch;
     and, without a signature, every other set with that one (to). So a batch sends one edge for each of its sets at most."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +153,7 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if not len(grams) or name in had:
                     continue
                 had.add(name)
-                s = fragments(grams, percent)
+                s = fragments(grams, percent, shared.value)
                 sigs.append(s.view(np.int64)), names.append(np.full(len(s), name))
             if not any(map(len, sigs)):
                 continue  # small sets link with equal ones only
@@ -126,9 +169,9 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(run), "sig long, name long, to long")
 
 
-def _clusters(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _clusters(docs: DataFrame, size: int, percent: int, common: np.ndarray = NONE) -> DataFrame:
     """node, label: sets that may link have one label. A batch sends one row for each signature; those of a signature come one after the other and are linked with the first, none of them held."""
-    rows = _signatures(docs, size, percent)
+    rows = _signatures(docs, size, percent, common)
     # rows that already are edges are dealt apart from each other
     dealt = rows.repartition(F.coalesce("sig", F.xxhash64("name", "to"))).sortWithinPartitions("sig")
 
@@ -309,7 +352,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, text_col: st
     rows = materialize(_scan(docs, size), "ngram-sets")
     known = docs.filter("id is not null")
     where = rows.filter("id is not null AND n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    clusters = _clusters(known, size, percent)
+    clusters = _clusters(known, size, percent, _common(known, where, size))
     labels = _labels(known, where, clusters, size, percent)
     # a component's name becomes its smallest id; rows of one id are one document
     best = where.join(labels, "name", "left").select("name", "id", F.coalesce("group", "name").alias("label"))

@@ -52,6 +52,33 @@ def test_jaccard_of_two_thousand_near_copies(spark):
     assert edges < 2000
 
 
+def test_jaccard_of_lines_that_many_texts_repeat(spark, monkeypatch):
+    """Repeated lines do not chain texts that share little else into one cluster; near copies and texts of such lines alone are still linked."""
+    import random
+
+    rng = random.Random(6)
+    pool = [" ".join(f"l{k}w{j}" for j in range(12)) for k in range(20)]
+    texts = []
+    for k in range(3000):
+        lines = [" ".join(f"r{rng.randrange(10**9)}" for _ in range(rng.choice([9, 14]))) for _ in range(8)] + rng.sample(pool, 4)
+        rng.shuffle(lines)
+        texts.append(lines)
+    texts += [[f"near{k}", *texts[k][:-1], texts[k][-1] + " end"] for k in range(0, 3000, 60)]
+    texts += [[*pool[:18], *[f"only{k}"] * k] for k in range(30)]
+    rows = list(enumerate("\n".join(t) for t in texts))
+    seen, labels = [], ngram_join._labels
+
+    def spy(docs, where, clusters, *how):
+        seen.append(clusters.groupBy("label").count().agg(F.max("count")).first()[0])
+        return labels(docs, where, clusters, *how)
+
+    monkeypatch.setattr(ngram_join, "_labels", spy)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 5, 80).collect()}
+    alone = brute.jaccard_components([(i, t) for i, t in rows if i >= 3000 or i % 60 == 0], 5, 80)
+    assert got == {i: alone[i][1] if i in alone else i for i, _ in rows} and len(set(got.values())) == 3001
+    assert seen[0] <= 60
+
+
 def test_jaccard_odd_rows(twice, no_docs):
     rows = ngram_join.jaccard_join(twice).collect()
     assert len(rows) == 7 and {r["component_id"] for r in rows if r["doc_id"] is None} == {None}
